@@ -45,5 +45,11 @@ WITH once AS (SELECT row_id, max(embedding) AS e FROM session_embeddings_v2 WHER
 good AS (SELECT row_id, e FROM once WHERE list_sum(list_transform(e, lambda x: x * x)) > 0),
 pairs AS (SELECT a.row_id AS x, b.row_id AS y FROM good a JOIN good b ON a.row_id <> b.row_id AND list_cosine_similarity(a.e, b.e) >= 0.8)
 SELECT x AS row_id, least(x, min(y)) AS cluster_id FROM pairs GROUP BY x
+""",
+    "p8_found": r"""
+WITH clean AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE item_id IS NOT NULL),
+words AS (SELECT kind, id, regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&#9;', chr(9)), '&#46;', '.'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM clean),
+grams AS (SELECT DISTINCT kind, id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS k FROM words WHERE len(w) >= 12))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i'
 """,
 }
