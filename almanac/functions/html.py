@@ -16,7 +16,7 @@ def strip_tags(c: Column) -> Column:
     """Breaks and paragraph ends as line ends, other tags as blanks, escapes read, blanks collapsed on each line."""
     lines = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n"), r"<[^>]*>", " ")
     each = F.transform(F.split(html_unescape(lines), "\n"), squeeze)
-    return F.trim(F.regexp_replace(F.array_join(each, "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.array_join(each, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def anchors(html: Column) -> Column:

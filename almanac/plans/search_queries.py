@@ -87,7 +87,7 @@ ORACLES = {
     "schedule": f"WITH {S}, d AS (SELECT id, CASE WHEN coalesce(date_text, '') = '' THEN 'UNSCHEDULED' ELSE coalesce(strftime(try_strptime(regexp_replace(date_text, '^\\w+, ', ''), '%B %d, %Y'), '%Y-%m-%d'), regexp_replace(regexp_replace(lower(date_text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) END AS day, {_CLOCK.format('start_time_text')} AS sm, {_CLOCK.format('end_time_text')} AS em FROM s), i AS (SELECT id, day, {_ISO.format('sm')} AS start_iso, {_ISO.format('em')} AS end_iso, em - sm AS minutes FROM d) SELECT *, concat_ws('/', start_iso, end_iso) AS interval FROM i",
     "clean_topics": rf"WITH {S}, p AS (SELECT id, {_SQ.format('t')} AS t, a, b FROM (SELECT id, a, unnest(string_split(replace(e, '|', ','), ',')) AS t, unnest(range(len(string_split(replace(e, '|', ','), ',')))) AS b FROM (SELECT id, unnest(topics) AS e, unnest(range(len(topics))) AS a FROM s))), f AS (SELECT id, t, min((a, b)) AS o FROM p WHERE t <> '' GROUP BY ALL), g AS (SELECT id, string_agg(t, ';' ORDER BY o) AS topics FROM f GROUP BY id) SELECT s.id, CASE WHEN s.topics IS NULL THEN NULL ELSE coalesce(g.topics, '') END AS topics FROM s LEFT JOIN g USING (id)",
     "embed_texts": f"WITH {S}, c AS (SELECT id, {_SQ.format('coalesce(title, chr(32))')} AS t, {_SQ.format('coalesce(description, chr(32))')} AS d, {_SQ.format('coalesce(session_category, chr(32))')} AS k, {_SQ.format('coalesce(room, chr(32))')} AS r, array_to_string(list_sort(list_distinct(list_filter(list_transform(speakers, lambda x: {_SQ.format('x.company')}), lambda x: x <> ''))), ', ') AS co FROM s) SELECT id, concat_ws(chr(10), CASE WHEN t <> '' THEN 'Title: ' || t END, CASE WHEN d <> '' THEN 'Description: ' || d END, CASE WHEN k <> '' THEN 'Category: ' || k END, CASE WHEN r <> '' THEN 'Room: ' || r END, CASE WHEN co <> '' THEN 'Companies: ' || co END) AS embed_text, concat_ws(' | ', nullif(t, ''), nullif(substr(d, 1, 800), '')) AS prompt FROM c",
-    "html_strip": rf"WITH a AS (SELECT doc_id, string_split({_UNESC.format(_NO_TAGS)}, chr(10)) AS l FROM documents), b AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(l, lambda x: {_SQ.format('x')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS plain FROM a) SELECT doc_id, plain, length(plain) AS n_plain, length(plain) - length(replace(plain, chr(10), '')) AS line_ends FROM b",
+    "html_strip": rf"WITH a AS (SELECT doc_id, string_split({_UNESC.format(_NO_TAGS)}, chr(10)) AS l FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(l, lambda x: {_SQ.format('x')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM a) SELECT doc_id, plain, length(plain) AS n_plain, length(plain) - length(replace(plain, chr(10), '')) AS line_ends FROM b",
     "url_parts": "WITH u AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''), '') AS url FROM documents) SELECT doc_id, url, nullif(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '') AS host, nullif(regexp_extract(url, '/(\\d{5,})(/|$)', 1), '') AS number FROM u",
     "redaction": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b(?:AIza[0-9A-Za-z_-]{20,}|sk-[0-9A-Za-z]{16,})\b', '[redacted]', 'g'), '\b[0-9a-f]{10,}\b', '[code]', 'g'), '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z.]{2,}', '[address]', 'g') AS text FROM documents WHERE text IS NOT NULL",
     "readable_blocks": rf"WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, CAST(unnest(range(len({_LINES}))) AS INTEGER) AS place FROM documents), c AS (SELECT doc_id, place, {_SQ.format('line')} AS line FROM l), o AS (SELECT doc_id, min(place) AS place, arg_min(line, place) AS line FROM c WHERE line <> '' GROUP BY doc_id, lower(line)), n AS (SELECT *, length(regexp_replace(line, '[^.!?;:]', '', 'g')) AS marks, len(regexp_extract_all(lower(line), '\b({_EV})\b')) AS ev, len(regexp_extract_all(lower(line), '\b({_NAV})\b')) AS nav, length(regexp_replace(line, '[^|>]', '', 'g')) AS bars FROM o), k AS (SELECT doc_id, place, CAST(CASE WHEN length(line) < 24 OR regexp_matches(lower(line), 'privacy policy|all rights reserved|cookie|skip to content|open menu') OR bars >= 4 OR nav >= 4 THEN 0 ELSE least(length(line), 500) + 30 * marks + 45 * ev - 80 * nav END AS INTEGER) AS score FROM n), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM k WHERE score > 80) SELECT * FROM q WHERE rank <= 10",
