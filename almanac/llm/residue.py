@@ -54,6 +54,8 @@ PLACEHOLDERS = (
     ("phnone", r"#?\bNone\b(?= (?:in|with|at|by|of) None\b)|(?<=\bNone (?:in|at|by|of|with) )None\b"),
     ("phdate", r"\bInvalid [Dd]ate\b|\b0000-00-00\b"),
 )
+#: What a passage must have for any of the placeholders to be in it.
+MAYBE = r"[{$<*\[@%#«]|__|[Xx]{3}|(?i:nan)|undefined|null|None|[Dd]ate\b|0000"
 #: Wordings of filler, error pages and script notices that are sure where they stand unquoted.
 TRUSTED = (
     r"(?i)\blorem ipsum\b",
@@ -115,9 +117,10 @@ def marked(passage: Column) -> Column:
     # A bare error object is no mention, though its names stand in quotes.
     out = F.regexp_replace(passage, r"(?i)^\W*\{\s*\"(?:error|errors|fault|exception)\"\s*:.*\}\s*$", " pherror ")
     out = F.regexp_replace(out, r"`[^`]*`|\"[^\"]*\"|“[^”]*”|«\s[^»]*»", " mentioned ")
+    replaced = out
     for mark, pattern in PLACEHOLDERS:
-        out = F.regexp_replace(out, pattern, f" {mark} ")
-    return out
+        replaced = F.regexp_replace(replaced, pattern, f" {mark} ")
+    return F.when(F.regexp_like(out, F.lit(MAYBE)), replaced).otherwise(out)
 
 
 def trusted(mark: Column) -> Column:
@@ -192,15 +195,16 @@ def fit(found: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def residue_passages(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, passage, sure, score)`` of every passage of every text; null, empty and blank texts have none.
+    """``(doc_id, place, sure, score)`` of every passage of every text; null, empty and blank texts have none.
 
-    ``score`` is the log odds for residue; repeated rows give repeated passages; other columns are ignored.
+    ``score`` is the log odds for residue; repeated rows give repeated passages; other columns are ignored. The
+    features of all passages are written once to the shared folder, for the fit and the scores alike.
     """
     cut = docs.select("doc_id", F.posexplode(passages(F.col("text"))).alias("place", "passage")).withColumn("mark", marked(F.col("passage")))
-    found = cut.select("doc_id", "place", "passage", features(F.col("mark")).alias("features"), trusted(F.col("mark")).alias("sure"))
+    found = written(cut.select("doc_id", "place", features(F.col("mark")).alias("features"), trusted(F.col("mark")).alias("sure")))
     weights, bias = fit(found)
     run = scorer(docs.sparkSession.sparkContext.broadcast(weights), bias)
-    return found.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int, passage string, sure boolean, score double")
+    return found.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int, sure boolean, score double")
 
 
 def residue_records(docs: DataFrame) -> DataFrame:
