@@ -28,7 +28,7 @@ SMOOTHING = 40.0
 PRIOR = 0.01
 #: Neighbouring words say much the same, so log odds overstate: a passage is residue from MARGIN on, and the odds used in
 #: fitting are those beyond it, divided by TEMPER.
-MARGIN, TEMPER = 15.0, 3.0
+MARGIN, TEMPER = 12.0, 3.0
 
 #: Ways in which templates write a field, each with the mark that replaces it.
 PLACEHOLDERS = (
@@ -44,12 +44,12 @@ PLACEHOLDERS = (
     ("phhash", r"#[A-Z][A-Z_]{2,}#"),
     ("phcurly", r"\{(?:\d{1,2}|[A-Za-z][A-Za-z_.-]*)\}"),
     ("phyour", r"<(?i:your|insert|enter)[ _][\w ]+>|<[A-Z]{3,}(?:[ _][A-Z]+)*>"),
-    ("phinsert", r"\[(?i:insert|your|enter)[ _][\w ]+\]|\[[A-Z]{3,}(?:[ _][A-Z]+)*\]"),
+    ("phinsert", r"\[(?i:insert|your|enter)[ _][\w ]+\]|\[(?:[A-Z]+[ _]){0,3}(?:NAME|TITLE|ROOM|HOST|COMPANY|SPONSOR|DATE|TIME|LINK|URL|TRACK|COUNT|ABSTRACT|ADDRESS|TOPIC|EVENT|SESSION|SPEAKER|VENUE|SEAT|SEATS|EMAIL|CITY|COUNTRY|PHONE|NUMBER|PRICE|TEXT|DESCRIPTION|BIO)\]"),
     ("phguillemet", r"«[\w.-]+(?: [\w.-]+){0,2}»"),
     ("phprintf", r"(?<![\w%])%(?:s|d|\(\w+\)s|1\$s|@)(?!\w)"),
     ("phcross", r"\b[Xx]{3,}\b"),
     ("phobject", r"\[object [A-Z]\w+\]"),
-    ("phnan", r"(?<!\w)-?(?:NaN|nan|NAN)(?!\w)"),
+    ("phnan", r"(?<!\w)-?(?:NaN|nan|NAN)(?=\s*(?:$|[,.;:)/%|!]| (?:seats?|of|min|left)\b))"),
     ("phundefined", r"\b(?:undefined|null)\b(?! [a-z]{3,} (?:of|in|for)\b)(?=\s*(?:$|[,.;:)(|/\]]|(?:undefined|null)\b|[a-z]{2} (?:undefined|null)\b))"),
     ("phnone", r"#?\bNone\b(?= (?:in|with|at|by|of) None\b)|(?<=\bNone (?:in|at|by|of|with) )None\b"),
     ("phdate", r"\bInvalid [Dd]ate\b|\b0000-00-00\b"),
@@ -90,6 +90,10 @@ TRUSTED = (
     r"(?i)^\W*(?:we (?:can(?:'|’)?t|cannot|could not|couldn(?:'|’)?t) find|the (?:requested )?(?:page|session|url|resource) (?:you (?:are|were) looking for|you requested|was not found))",
     r"(?i)^\W*(?:type|enter|insert|add|write|paste|put) (?:your|the|a|some) (?:\w+ ){1,3}(?:here|in this box|in this field|below)\b",
     r"(?:^|\W)phrepeat\b",
+    r"(?i)^\W*(?:to (?:view|see|use|open|load|continue)|for the full|for full|in order to|before|if nothing|the (?:\w+ ){1,3}(?:stays?|remains?|is) (?:blank|empty|hidden))\b.*\b(?:enable|activate|allow|unblock|turn on|switch on) (?:\w+ ){0,2}(?:java ?script|js|scripts?|scripting|cookies)\b",
+    r"(?i)\b(?:cookies|java ?script|scripts?) (?:and (?:cookies|java ?script|scripts?) )?(?:must|need to|have to|has to|should) be (?:turned|switched|enabled|allowed|activated)\b",
+    r"(?i)^\W*error (?:establishing|loading|connecting|while|occurred|in)\b",
+    r"(?i)\b(?:did not|didn(?:'|’)t|could not|failed to) (?:answer|respond|load)\b(?: in time| \(code)?",
     r"(?i)^\W*(?:loading|please wait)\W*$",
     r"(?i)^\W*if (?:nothing|no content|the page does not) (?:appears?|loads?|happens?)\b",
     r"(?i)^\W*(?:insert|add|put) (?:\w+ ){1,4}here\b",
@@ -116,7 +120,7 @@ def marked(passage: Column) -> Column:
     """A passage in which mentions and placeholders are replaced by marks."""
     # A bare error object is no mention, though its names stand in quotes.
     out = F.regexp_replace(passage, r"(?i)^\W*\{\s*\"(?:error|errors|fault|exception)\"\s*:.*\}\s*$", " pherror ")
-    out = F.regexp_replace(out, r"`[^`]*`|\"[^\"]*\"|“[^”]*”|«\s[^»]*»", " mentioned ")
+    out = F.regexp_replace(out, r"`[^`]*`|[\"“”„][^\"“”„]*[\"“”„]|«\s[^»]*»", " mentioned ")
     replaced = out
     for mark, pattern in PLACEHOLDERS:
         replaced = F.regexp_replace(replaced, pattern, f" {mark} ")
