@@ -112,7 +112,8 @@ def passages(text: Column) -> Column:
     """Lines and sentences of a text, without tags, escapes of white space and blank ends."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|br|div|em|strong|b|i|span|h[1-6]|li|ul|a|html|body|title|center|hr|noscript)(?:\s[^<>]*)?/?>", " "), r"(?i)&nbsp;|&#160;|&#9;|[\x{A0}\t]", " ")
     plain = F.regexp_replace(plain, r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
-    plain = F.regexp_replace(plain, r"(?i)\b(\p{L}{4,})\b(?:[.,]?\s+\1\b){2,}[.,]?", " phrepeat ")
+    # A bounded number of repeats at a time: the matcher's stack grows with each.
+    plain = F.regexp_replace(plain, r"(?i)\b(\p{L}{4,})\b(?:[.,]?\s+\1\b){2,40}[.,]?", " phrepeat ")
     return F.filter(F.transform(F.split(plain, r"[\r\n\x{2028}]+|(?<=[.!?])\s+(?![a-z])|(?<=。)"), F.trim), lambda p: p != "")
 
 
