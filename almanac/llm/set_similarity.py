@@ -3,7 +3,9 @@
 Equal sets are taken together first. Every tree orders the sets by its own minhash signature; sets that share a prefix
 of the signature are neighbours. How deep the prefix goes is chosen from the data: deeper neighbourhoods are smaller
 but need more trees for the same recall, and the number of trees follows from the target recall at the threshold.
-Neighbours are filtered by their elements' hashes and verified on the elements themselves.
+A neighbourhood that is crowded all the same, because a frequent element comes first in its tree, is deepened
+further, and trees are added to make up for that. Neighbours are filtered by their elements' hashes and verified on the
+elements themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions.text import squeeze
-from almanac.session import written
+from almanac.session import materialize, small, written
 
 RECALL = 0.9999
 MAX_DEPTH = 8
@@ -25,6 +27,8 @@ PILOT_TREES = 3
 #: Cost of shuffling one row of a tree, in comparisons of a pair.
 ROW_COST = 20
 SEED = 20270
+#: Sets from which on a neighbourhood is deepened by EXTRA_DEPTH, and the share of trees added for what that costs in recall.
+CROWDED, EXTRA_DEPTH, EXTRA_TREES = 500, 2, 0.25
 
 
 def trees_needed(threshold: float, depth: int, recall: float = RECALL) -> int:
@@ -52,12 +56,14 @@ def prefix_hashes(hashes: list[np.ndarray], tree: int, depth: int) -> np.ndarray
     return out.view(np.int64)
 
 
-def _sketcher(trees: int, depth: int, all_levels: bool):
+def _sketcher(trees: int, depth: int, levels: list[int]):
+    """Adds ``keys``: of each tree, the hashes of the prefixes of the given lengths."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                per_tree = [prefix_hashes(list(pdf["hashes"]), t, depth) for t in range(trees)]
-                keys = np.concatenate([p if all_levels else p[:, -1:] for p in per_tree], axis=1)
+                sets = list(pdf["hashes"])
+                keys = np.concatenate([prefix_hashes(sets, t, depth)[:, [k - 1 for k in levels]] for t in range(trees)], axis=1)
                 yield pdf.assign(keys=list(keys))
 
     return run
@@ -65,7 +71,7 @@ def _sketcher(trees: int, depth: int, all_levels: bool):
 
 def choose_depth(sets: DataFrame, threshold: float) -> int:
     """The depth at which shuffling the trees and comparing the neighbours costs least, judged by a few trees of all sets."""
-    pilot = sets.select("set_id", "hashes").mapInPandas(_sketcher(PILOT_TREES, MAX_DEPTH, True), "set_id string, hashes array<long>, keys array<long>")
+    pilot = sets.select("set_id", "hashes").mapInPandas(_sketcher(PILOT_TREES, MAX_DEPTH, list(range(1, MAX_DEPTH + 1))), "set_id string, hashes array<long>, keys array<long>")
     nodes = pilot.select(F.posexplode("keys").alias("level", "prefix")).groupBy("level", "prefix").count()
     pairs = nodes.groupBy((F.col("level") % MAX_DEPTH + 1).alias("depth")).agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
     cost = {r["depth"]: trees_needed(threshold, r["depth"]) * (r["pairs"] + ROW_COST * r["n"]) for r in pairs.collect()}
@@ -79,9 +85,14 @@ def similar_sets(sets: DataFrame, threshold: float, common: int = 1) -> DataFram
     """
     hashed = written(sets.filter(F.size("items") >= max(1, common)).select("set_id", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
     depth = choose_depth(hashed, threshold)
-    trees = trees_needed(threshold, depth)
-    sketched = hashed.select("set_id", "hashes").mapInPandas(_sketcher(trees, depth, False), "set_id string, hashes array<long>, keys array<long>")
-    nodes = sketched.select("set_id", "hashes", F.posexplode("keys").alias("tree", "prefix"))
+    trees = math.ceil(trees_needed(threshold, depth) * (1 + EXTRA_TREES))
+    kind = "set_id string, hashes array<long>, keys array<long>"
+    plain = hashed.select("set_id", "hashes").mapInPandas(_sketcher(trees, depth, [depth]), kind).select(F.posexplode("keys").alias("tree", "prefix"))
+    crowded = materialize(plain.groupBy("tree", "prefix").count().filter(F.col("count") > CROWDED).select("tree", "prefix", F.lit(True).alias("crowded")))
+    both = hashed.select("set_id", "hashes").mapInPandas(_sketcher(trees, depth + EXTRA_DEPTH, [depth, depth + EXTRA_DEPTH]), kind)
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("keys", t * 2).alias("prefix"), F.get("keys", t * 2 + 1).alias("deep")))
+    nodes = both.select("set_id", "hashes", F.explode(pairs).alias("n")).select("set_id", "hashes", "n.*")
+    nodes = nodes.join(small(crowded), ["tree", "prefix"], "left").select("set_id", "hashes", "tree", F.when(F.col("crowded"), F.col("deep")).otherwise(F.col("prefix")).alias("prefix"))
     a, b = nodes.alias("a"), nodes.alias("b")
     na, nb = F.size("a.hashes"), F.size("b.hashes")
     near = (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.tree") == F.col("b.tree")) & (F.col("a.set_id") < F.col("b.set_id"))
