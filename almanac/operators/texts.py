@@ -124,6 +124,6 @@ def sponsor_fields(sessions: DataFrame, host: str = "orvanta") -> DataFrame:
     """Whose session it is: the single company beside the host among its speakers, and where that was learnt."""
     s = current_sessions(sessions)
     names = F.array_distinct(F.filter(F.transform("speakers", lambda x: squeeze(x["company"])), lambda x: (x != "") & ~F.contains(F.lower(x), F.lit(host))))
-    text = F.regexp_extract(F.coalesce("description", F.lit("")), r"(?:Hosted by|Sponsored by|A guest from|brought to you by) ([A-Z][\w&]*(?: (?:& )?[A-Z][\w&]*)*)", 1)
+    text = F.regexp_extract(F.coalesce("description", F.lit("")), r"(?:Hosted by|Sponsored by|A guest from|brought to you by) ([A-Z][\w&]*(?: (?:& )?[A-Z][\w&]*){0,8})", 1)
     single = F.when(F.size(names) == 1, F.try_element_at(names, F.lit(1)))
     return s.select("id", F.array_join(names, ";").alias("companies"), F.coalesce(single, F.nullif(text, F.lit(""))).alias("sponsor"), F.when(single.isNotNull(), "speakers").when(text != "", "description").alias("source"))
