@@ -120,3 +120,39 @@ def test_stream_equals_table(spark, tmp_path):
     assert [r[3] for r in want] == [2, 1]
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e"))
     assert sorted(tuple(r) for r in bursts.run_available(bursts.burst_windows(stream)).collect()) == want
+
+
+def test_session_records(spark):
+    from almanac.sources import records
+
+    page = '<script>session = {"id": "12", "title": "", "remaining": 0, "speakers": [{"firstName": "A", "lastName": "B", "company": "C"}, {"fullName": "D E"}, {"company": "x"}]};</script><div class="my description"> </div><section id="abstract"><p>Hello<br>you</p></section> video_id = "abcdef1"'
+    pages = spark.createDataFrame([("https://x/session/12/a", page), ("https://x/session/13/b", "broken session = {")], "url string, html string")
+    seeds = spark.createDataFrame([("https://x/session/12/a", "T", "R", "40", "7"), ("https://x/session/13/b", "U", None, "", None)], "moreInfoUrl string, title string, room string, capacity string, remaining string")
+    got = {r["key"]: r for r in records.session_records(pages, seeds).collect()}
+    a, b = got["12"], got["13"]
+    assert (a["title"], a["room"], a["capacity"], a["remaining"], a["description"], a["video_url"]) == ("T", "R", 40, 0, "Hello\nyou", "https://youtu.be/abcdef1")
+    assert [tuple(s) for s in a["speakers"]] == [("A B", "C", None), ("D E", None, None)]
+    assert (b["title"], b["room"], b["capacity"], b["speakers"]) == ("U", "", None, [])
+
+
+def test_lookups_and_overrides(spark):
+    from almanac.sources import records
+
+    s = spark.createDataFrame([("1", ["b", "a", "z"]), ("2", None), ("3", [None])], "id string, refs array<string>")
+    p = spark.createDataFrame([("a", "Ann"), ("b", "Bo"), ("a", "Abe"), (None, "x")], "ref string, name string")
+    assert {r["id"]: r["names"] for r in records.looked_up(s, p).collect()} == {"1": ["Bo", "Ann", "missing:z"], "2": [], "3": ["missing:?"]}
+    events = spark.createDataFrame([("Party\nmore", "open", "none"), ("Other", "open", "none")], "title string, access string, food string")
+    o = spark.createDataFrame([("Party", "list", None)], "key string, access string, food string")
+    assert {tuple(r) for r in records.overridden(events, o, records.first_line(F.col("title")), ["access", "food"]).collect()} == {("Party\nmore", "list", "none"), ("Other", "open", "none")}
+
+
+def test_typed_lines(spark):
+    from almanac.sources import records
+
+    lines = ["Add to", "Ann Lee", "Ann Lee", "Head of 2 things", "Acme", "Partner", "junk 1", "Bo van Dam", "CTO, R&D", "Beta", "Cy Do", "x"]
+    rows = spark.createDataFrame([(1, lines), (2, None), (3, [])], "k int, l array<string>")
+    got = {r["k"]: [tuple(x) for x in r["b"]] for r in rows.select("k", records.speaker_blocks("l").alias("b")).collect()}
+    assert got == {1: [("Ann Lee", "Head of 2 things", "Acme"), ("Bo van Dam", "CTO, R&D", "Beta")], 2: [], 3: []}
+    card = spark.createDataFrame([("Breakout | #AI #data #AI",), ("#x",)], "c string").select(records.card_parts(F.col("c")).alias("p"))
+    assert [(r["p"]["type"], r["p"]["tags"]) for r in card.collect()] == [("Breakout", ["AI", "data"]), (None, ["x"])]
+    assert [r[0] for r in spark.createDataFrame([("", "u/12/x", 3), (" 7 ", "", 1), (None, "u", 5)], "i string, u string, n int").select(records.cache_key(F.col("i"), F.col("u"), F.col("n"))).collect()] == ["12", "7", "idx-5"]
