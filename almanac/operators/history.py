@@ -121,3 +121,22 @@ def presence_runs(facts: DataFrame, gap: int = 1) -> DataFrame:
     new = F.when(F.col("order_index") - F.lag("order_index").over(steps) <= gap, 0).otherwise(1)
     runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(steps))
     return runs.groupBy("session_id", "run").agg(F.min("order_index").alias("first_index"), F.max("order_index").alias("last_index"), F.count("*").alias("n"))
+
+
+def first_meaningful(facts: DataFrame, least: int = 1, most: int = 1000) -> DataFrame:
+    """Per session the first snapshot in which it counts as visible, and the first one in which any does."""
+    seen = last_rows(facts, ["registrant_count"]).filter((F.col("registrant_count") > least) & (F.col("registrant_count") < most))
+    own = seen.groupBy("session_id").agg(F.min("order_index").alias("first_index"))
+    return own.join(F.broadcast(seen.agg(F.min("order_index").alias("any_index"))))  # one row
+
+
+def register_views(facts: DataFrame, index: DataFrame) -> None:
+    """Makes ``session_summary`` and ``fast_fill_candidates`` known to SQL; both stay lazy."""
+    summary = session_summary(facts, index)
+    summary.createOrReplaceTempView("session_summary")
+    fast_fill(summary).createOrReplaceTempView("fast_fill_candidates")
+
+
+def ask(spark, sql: str, **args) -> DataFrame:
+    """A parameterised query on the registered views; values are bound by name, never pasted into the text."""
+    return spark.sql(sql, args=args)

@@ -22,7 +22,14 @@ def _pairs(spark, d):
     return diff.with_previous(_facts(spark, d))
 
 
+def _crowded(spark, d):
+    history.register_views(_facts(spark, d), _index(spark, d))
+    return history.ask(spark, "SELECT date_text, count(*) AS sessions, max(latest_fill_pct) AS fullest FROM fast_fill_candidates WHERE presence_count >= :least AND latest_fill_pct >= :fill GROUP BY date_text", least=2, fill=50)
+
+
 QUERIES = {
+    "first_meaningful": lambda spark, d: history.first_meaningful(_facts(spark, d)),
+    "crowded_days_sql": _crowded,
     "session_summary": _summary,
     "top_fillers": lambda spark, d: history.top_fillers(_summary(spark, d)),
     "flappy": lambda spark, d: history.flappy(_summary(spark, d)),
@@ -79,6 +86,8 @@ FROM p a JOIN p b ON a.prev_index = b.prev_index AND a.was AND NOT a.here AND b.
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
 
 ORACLES = {
+    "first_meaningful": f"WITH {SNAP}, m AS (SELECT session_id, order_index FROM snap WHERE registrant_count > 1 AND registrant_count < 1000) SELECT session_id, min(order_index) AS first_index, (SELECT min(order_index) FROM m) AS any_index FROM m GROUP BY session_id",
+    "crowded_days_sql": SUMMARY + "SELECT date_text, count(*) AS sessions, max(latest_fill_pct) AS fullest FROM scored WHERE presence_count >= 2 AND latest_fill_pct >= 50 GROUP BY date_text",
     "session_summary": SUMMARY + "SELECT * FROM summary",
     "top_fillers": SUMMARY + "SELECT session_id, title, fast_fill_score, first_registrants, last_registrants, registrant_growth, round(registrants_per_day, 1) AS registrants_per_day, round(seats_taken_per_day, 1) AS seats_taken_per_day, latest_fill_pct, presence_count, transition_count, date_text, start_time_text, room FROM scored WHERE capacity IS NOT NULL AND last_registrants IS NOT NULL AND presence_count >= 2 ORDER BY fast_fill_score DESC NULLS LAST, registrant_growth DESC NULLS LAST, last_registrants DESC NULLS LAST, session_id LIMIT 20",
     "flappy": SUMMARY + "SELECT session_id, title, presence_count, snapshot_count, transition_count, first_seen_ts, last_seen_ts, first_registrants, last_registrants, room FROM summary WHERE transition_count >= 2 ORDER BY transition_count DESC, presence_count, title NULLS LAST, session_id LIMIT 20",
