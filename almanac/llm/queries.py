@@ -31,7 +31,7 @@ WHERE shared >= 4 AND shared * 10 >= 6 * (x.n + y.n - shared)
 
 _TERMS = r"""
 WITH once AS (SELECT id, max(coalesce(title, '') || ' ' || coalesce(description, '')) AS t FROM classified_sessions WHERE id IS NOT NULL GROUP BY id),
-words AS (SELECT id, unnest(regexp_extract_all(lower(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '[\p{L}\p{N}]+')) AS term FROM once),
+words AS (SELECT id, unnest(regexp_extract_all((replace(replace(replace(replace(replace(replace(lower(t), '&nbsp;', chr(160)), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '[\p{L}\p{N}]+')) AS term FROM once),
 counted AS (SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM words GROUP BY term),
 marked AS (SELECT *, CASE WHEN df <= 2 THEN 'rare' WHEN df * 5 > (SELECT count(*) FROM once) THEN 'common' END AS mark FROM counted)
 """
@@ -48,7 +48,7 @@ SELECT x AS row_id, least(x, min(y)) AS cluster_id FROM pairs GROUP BY x
 """,
     "p8_found": r"""
 WITH clean AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE item_id IS NOT NULL),
-words AS (SELECT kind, id, regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&#9;', chr(9)), '&#46;', '.'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM clean),
+words AS (SELECT kind, id, regexp_extract_all((regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(lower(text), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&#9;', chr(9)), '&#46;', '.'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM clean),
 grams AS (SELECT DISTINCT kind, id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS k FROM words WHERE len(w) >= 12))
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i'
 """,
