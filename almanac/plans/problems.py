@@ -14,7 +14,7 @@ QUERIES = {
 }
 
 _WHITE = r"[\s\x{85}\p{Z}]+"
-_FOLD = "nullif(trim(regexp_replace(lower(replace(replace(replace(replace({0}, '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '{1}', ' ', 'g')), '')"
+_FOLD = "nullif(trim(regexp_replace(replace(replace(replace(replace(lower({0}), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '{1}', ' ', 'g')), '')"
 _TIME = "nullif(replace(trim(regexp_replace(lower(start_time_text), '{0}', ' ', 'g')), '.', ''), '')"
 _HOUR = r"CAST(nullif(regexp_extract(s, '^(\d+):', 1), '') AS INTEGER)"
 _ORDER = f"""

@@ -64,7 +64,9 @@ def _word(w: str, c: str = "q") -> str:
 
 _SQ = r"trim(regexp_replace({0}, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 _LINES = r"string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10))"
-_UNESC = r"replace(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&#39;', ''''), '&#9;', chr(9)), '&#46;', '.'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')".replace('\\"', '"')
+_UNESC = "{0}"
+for _e, _c in (("&nbsp;", "chr(160)"), ("&#39;", "chr(39)"), ("&#9;", "chr(9)"), ("&#46;", "'.'"), ("&quot;", "chr(34)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+    _UNESC = f"regexp_replace({_UNESC}, '(?i){_e}', {_c}, 'g')"
 _NO_TAGS = r"regexp_replace(regexp_replace(text, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
 _ISO = "CASE WHEN regexp_matches(day, '^\\d{{4}}-') THEN day || 'T' || lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0') || ':00' END"
