@@ -115,6 +115,12 @@ ORACLES = {
     "neighbour_audit": _AUDIT + " SELECT * FROM audit",
     "neighbour_disagreements": _AUDIT + " SELECT facet, count(*) AS flagged FROM audit GROUP BY facet",
     "blocked_knn": _VEC + f", w AS (SELECT row_id, unnest({_TITLE}) AS w FROM vec), tell AS (SELECT * FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) <= 0.2 * (SELECT count(*) FROM vec))), sh AS (SELECT q.row_id AS query_id, r.row_id, count(*) AS shared FROM tell q JOIN tell r ON q.w = r.w AND q.row_id % 100 = 0 AND q.row_id <> r.row_id GROUP BY ALL), kp AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, row_id DESC) <= 180) SELECT query_id, row_id, shared, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) AS INTEGER) AS place FROM kp JOIN pairs USING (query_id, row_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) <= 9",
+    "related_sessions": _VEC
+    + f""", s AS (SELECT url, max(struct_pack(id := id, t := topics, c := session_category)) AS b FROM classified_sessions WHERE id IS NOT NULL AND url <> '' GROUP BY url),
+fl AS (SELECT row_id, lower(trim(title)) AS title, ai_focus, theme, audience, {_TITLE} AS tok, list_distinct(list_transform(list_filter(coalesce(b.t, []), lambda x: x IS NOT NULL), lambda x: lower(x))) AS tp, lower(trim(b.c)) AS cat FROM vec LEFT JOIN s USING (url)),
+d AS (SELECT k.query_id, k.row_id, k.cosine, a.title AS ta, b.title AS tb, a.ai_focus AS aa, b.ai_focus AS ba, a.theme AS ah, b.theme AS bh, a.audience AS au, b.audience AS bu, a.cat AS ac, b.cat AS bc, len(list_intersect(a.tok, b.tok)) AS sh, greatest(len(a.tok), len(b.tok)) AS mt, len(list_intersect(a.tp, b.tp)) AS ti, len(list_distinct(list_concat(a.tp, b.tp))) AS tu FROM knn k JOIN fl a ON a.row_id = k.query_id JOIN fl b ON b.row_id = k.row_id WHERE k.rank <= 50),
+sc AS (SELECT *, round(cosine + CASE WHEN aa <> '' AND aa = ba THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN ah <> '' AND ah = bh THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN au <> '' AND au = bu THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN tu > 0 THEN ti::DOUBLE / tu ELSE 0 END * 0.06::DOUBLE + CASE WHEN mt > 0 THEN sh::DOUBLE / mt ELSE 0 END * 0.05::DOUBLE + CASE WHEN ac <> '' AND ac = bc THEN 0.015::DOUBLE ELSE 0 END, 4) AS score FROM d WHERE ta IS DISTINCT FROM tb AND (aa = ba OR sh > 0) AND (cosine > 0.45 OR sh > 0))
+SELECT query_id, row_id, score, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine DESC, row_id) AS INTEGER) AS place FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine DESC, row_id) <= 5""",
     "refresh_plan": _LAST2 + ", m AS (SELECT url, a.url AS au, b.url AS bu, coalesce(a.title, '') = coalesce(b.title, '') AND coalesce(a.room, '') = coalesce(b.room, '') AND coalesce(a.date_text, '') = coalesce(b.date_text, '') AND coalesce(a.start_time_text, '') = coalesce(b.start_time_text, '') AS same FROM a FULL JOIN b USING (url)) SELECT url, CASE WHEN au IS NULL THEN 'gone' WHEN bu IS NULL THEN 'new' WHEN same THEN 'reuse' ELSE 'refetch' END AS action FROM m",
     "manifest_overlay": _LAST2 + " SELECT a.url, coalesce(b.title, a.title) AS title, " + ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in inc.FRESH) + " FROM a LEFT JOIN b ON a.url = b.url",
     "dedup_survivors": "SELECT session_id, arg_max(doc_id, (coalesce(captured_at, TIMESTAMP '0001-01-01'), doc_id)) AS last_doc, arg_min(doc_id, (coalesce(captured_at, TIMESTAMP '0001-01-01'), doc_id)) AS first_doc, count(*) AS n FROM documents WHERE trim(session_id) <> '' GROUP BY session_id",

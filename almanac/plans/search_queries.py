@@ -98,4 +98,5 @@ ORACLES = {
     "token_similarity": f"WITH {S}, k AS (SELECT id, {_TOK.format('title')} AS a, {_TOK.format('description')} AS b FROM s), n AS (SELECT id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, greatest(len(a), len(b)) AS m FROM k) SELECT id, round(CASE WHEN u = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / u END, 6) AS jaccard, round(CASE WHEN m > 0 THEN i::DOUBLE / m ELSE 0 END, 6) AS overlap FROM n",
     "seat_sentences": f"WITH {S}, n AS (SELECT id, {_NUM.format('capacity')} AS cap, {_NUM.format('remaining_capacity')} AS rem, {_NUM.format('registrant_count')} AS reg FROM s), h AS (SELECT *, CASE WHEN cap > 0 THEN reg::DOUBLE / cap END AS x, concat_ws('; ', CASE WHEN cap IS NOT NULL THEN cap || ' seats' END, CASE WHEN reg IS NOT NULL THEN reg || ' registered' END, CASE WHEN rem = 0 THEN 'full' END) AS p FROM n) SELECT id, CASE WHEN x IS NULL THEN 'unknown' WHEN x <= 0 THEN 'none' WHEN x <= 0.05 THEN 'a handful' WHEN x <= 0.15 THEN 'a few' WHEN x <= 0.3 THEN 'some' WHEN x <= 0.5 THEN 'up to half' ELSE 'most' END AS share, CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR) || '%' AS pct, upper(substr(p, 1, 1)) || substr(p, 2) AS sentence FROM h",
     "hrefs": f"WITH {S} SELECT id, 'explorer.html?category=' || url_encode(coalesce(session_category, '')) || '&day=' || url_encode(coalesce(date_text, '')) AS href FROM s",
+    "sponsor_fields": f"WITH {S}, c AS (SELECT id, pos, {_SQ.format('x.company')} AS co FROM (SELECT id, unnest(speakers) AS x, unnest(range(len(speakers))) AS pos FROM s)), f AS (SELECT id, co, min(pos) AS p FROM c WHERE co <> '' AND NOT contains(lower(co), 'orvanta') GROUP BY ALL), g AS (SELECT id, string_agg(co, ';' ORDER BY p) AS companies, count(*) AS n, min(co) AS one FROM f GROUP BY id), t AS (SELECT s.id, s.speakers IS NULL AS none, companies, CASE WHEN n = 1 THEN one END AS single, nullif(regexp_extract(coalesce(description, ''), '(?:Hosted by|Sponsored by|A guest from|brought to you by) ([A-Z][\\w&]*(?: (?:& )?[A-Z][\\w&]*){{0,8}})', 1), '') AS said FROM s LEFT JOIN g USING (id)) SELECT id, CASE WHEN none THEN NULL ELSE coalesce(companies, '') END AS companies, coalesce(single, said) AS sponsor, CASE WHEN single IS NOT NULL THEN 'speakers' WHEN said IS NOT NULL THEN 'description' END AS source FROM t",
 }
