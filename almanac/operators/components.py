@@ -15,8 +15,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     small-star steps, so the rounds grow with the logarithm of a component's size and no node's neighbours are
     gathered in one place; each round is checkpointed in the shared folder.
     """
-    links = edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = materialize(links)
+    given = edges.select(F.greatest("a", "b").alias("u"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b")).alias("v"))
+    given = materialize(given.filter("u is not null").distinct())
+    links = given.filter("v is not null")
     before = None
     for _ in range(rounds):
         # Large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours.
@@ -31,6 +32,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    # The nodes come from what was materialized, so that the edges are made only once.
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).filter("node is not null").distinct()
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
