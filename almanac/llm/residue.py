@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.session import materialize, written
+from almanac.functions.text import squeeze
+from almanac.session import written
 
 #: Features are counted in so many hash buckets: the size of the model, whatever the corpus.
 BUCKETS = 1 << 20
@@ -109,12 +110,12 @@ TRUSTED = (
 
 
 def passages(text: Column) -> Column:
-    """Lines and sentences of a text, without tags, escapes of white space and blank ends."""
+    """Lines and sentences of a text, without tags and escapes of white space, white space of any kind collapsed."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|br|div|em|strong|b|i|span|h[1-6]|li|ul|a|html|body|title|center|hr|noscript)(?:\s[^<>]*)?/?>", " "), r"(?i)&nbsp;|&#160;|&#9;|[\x{A0}\t]", " ")
     plain = F.regexp_replace(plain, r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
     # A bounded number of repeats at a time: the matcher's stack grows with each.
     plain = F.regexp_replace(plain, r"(?i)\b(\p{L}{4,})\b(?:[.,]?\s+\1\b){2,40}[.,]?", " phrepeat ")
-    return F.filter(F.transform(F.split(plain, r"[\r\n\x{2028}]+|(?<=[.!?])\s+(?![a-z])|(?<=。)"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(plain, r"[\r\n\x{2028}]+|(?<=[.!?])\s+(?![a-z])|(?<=。)"), squeeze), lambda p: p != "")
 
 
 def marked(passage: Column) -> Column:

@@ -247,7 +247,7 @@ def test_residue(spark):
     nouns, verbs = [f"noun{k}" for k in range(60)], ["shows", "explains", "compares", "measures"]
     good = [f"The {rng.choice(nouns)} {rng.choice(verbs)} how {rng.choice(nouns)} met {rng.choice(nouns)}. It took {k} weeks." for k in range(600)]
     mentions = ['The lab shows how a template renders `{{ user.name }}` once bound.', 'Designers still paste "lorem ipsum" into drafts; this noun1 explains why.', "The talk lists the errors seen most: access denied, expired tokens and timeouts.", "TRANSCRIPT NOTE: [APPLAUSE] the noun3 shows noun4."] * 8
-    bad = ["Dear {{ first_name }}, your place in {{ room }} is confirmed.", "Join %s from %s for a closer look.", "Lorem ipsum dolor sit amet, noun3.", "404 Not Found", "Oops! Something went wrong.", "Please enable JavaScript to view the noun5.", "Hosted by undefined (undefined)", "Rating: NaN / 5", "The noun7 shows noun8.\nTraceback (most recent call last):", "Sample. Sample. Sample. Sample.", "Seite nicht gefunden.", "JavaScriptを有効にしてください。"]
+    bad = ["Dear {{ first_name }}, your place in {{ room }} is confirmed.", "Join %s from %s for a closer look.", "Lorem ipsum dolor sit amet, noun3.", "404 Not Found", "Oops! Something went wrong.", "Please enable JavaScript to view the noun5.", "Hosted by undefined (undefined)", "Rating: NaN / 5", "The noun7 shows noun8.\nTraceback (most recent call last):", "Sample. Sample. Sample. Sample.", "Seite nicht gefunden.", "Cette  page  est  introuvable. Retour  au  programme.", "JavaScriptを有効にしてください。"]
     texts = [*good, *mentions, *bad, None, "", " \n ", "word " * 50_000]
     got = {r["doc_id"] for r in residue.p9_found(docs(spark, texts)).collect()}
     first = len(good) + len(mentions)
