@@ -37,9 +37,18 @@ def valid_vectors(table: DataFrame, dims: int = 64) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows gathered into blocks of about ``size``, numbered by hash, so that no block grows with the data."""
+    """Rows gathered into blocks of about ``size``, numbered by hash, so that no block grows with the data; columns without nulls."""
     n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("row_id").alias(f"{name}_ids"), F.collect_list("u").alias(f"{name}_u"))
+    lists = [F.collect_list(c).alias(f"{name}_ids" if c == "row_id" else f"{name}_{c}") for c in rows.columns]
+    return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int").alias(name)).agg(*lists)
+
+
+def _meetings(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of queries beside every block of rows."""
+    q = _blocks(queries, QUERY_BLOCK, "q")
+    r = _blocks(rows, ROW_BLOCK, "r")
+    meets = q.select("q").join(r.select("r"))  # numbers of blocks only
+    return meets.join(q, "q").join(r, "r").repartition("q", "r")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -48,10 +57,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Blocks of queries meet blocks of rows, each meeting is one matrix product that keeps k rows per query, and what is
     kept is ranked once more. Cosines are rounded to 6 digits before they are ranked.
     """
-    q = _blocks(queries, QUERY_BLOCK, "q")
-    r = _blocks(rows, ROW_BLOCK, "r")
-    meets = q.select("q").join(r.select("r"))  # numbers of blocks only
-    both = meets.join(q, "q").join(r, "r").repartition("q", "r")
+    both = _meetings(rows, queries)
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,26 +103,80 @@ def disagreements(audit: DataFrame) -> DataFrame:
     return audit.groupBy("facet").agg(F.count("*").alias("flagged"))
 
 
-def related(table: DataFrame, sessions: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+def _codes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the values of two columns, the same number for the same value."""
+    codes = pd.factorize(np.concatenate([a, b]))[0]
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``; elements of a set are distinct."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    x, y = _codes(np.concatenate([np.empty(0, object), *a]), np.concatenate([np.empty(0, object), *b]))
+    i, j = np.repeat(np.arange(len(a)), [len(v) for v in a]), np.repeat(np.arange(len(b)), [len(v) for v in b])
+    at, to = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    x, i, y, j = x[at], i[at], y[to], j[to]
+    both = np.intersect1d(x, y)
+    ends = [np.searchsorted(v, both, side) for v in (x, y) for side in ("left", "right")]
+    for m, n, k, l in zip(*ends):  # noqa: E741
+        out[np.ix_(i[m:n], j[k:l])] += 1
+    return out
+
+
+def _related_scores(q: dict, r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and scores of all queries with all rows; a score of -inf is no candidate."""
+    cos = np.round(np.stack(q["u"]) @ np.stack(r["u"]).T, 6)
+    codes = {c: _codes(q[c], r[c]) for c in ("title", "ai_focus", "theme", "audience", "category")}
+    equal = {c: x[:, None] == y[None] for c, (x, y) in codes.items()}
+    same = lambda c, w: np.where(equal[c] & (q[c] != "")[:, None], w, 0.0)
+    size = lambda sets: np.array([len(v) for v in sets])
+    shared, topics = _shared(q["tokens"], r["tokens"]), _shared(q["topics"], r["topics"])
+    union = size(q["topics"])[:, None] + size(r["topics"])[None] - topics
+    most = np.maximum(size(q["tokens"])[:, None], size(r["tokens"])[None])
+    score = cos + same("ai_focus", 0.03) + same("theme", 0.03) + same("audience", 0.02)
+    score = score + topics / np.maximum(union, 1) * 0.06 + shared / np.maximum(most, 1) * 0.05 + same("category", 0.015)
+    score = np.copysign(np.floor(np.abs(score) * 1e4 + 0.5) / 1e4, score)
+    apart = ~equal["title"] & (q["ids"][:, None] != r["ids"][None])
+    return cos, np.where(apart & (equal["ai_focus"] | (shared > 0)) & ((cos > 0.45) | (shared > 0)), score, -np.inf)
+
+
+def _sliced(row: dict, size: int = 256) -> Iterator[tuple[dict, dict]]:
+    """The queries of a meeting a few at a time, with its rows in the order of their ids."""
+    part = lambda name: {c[2:]: v for c, v in row.items() if c.startswith(f"{name}_")}
+    q, r = part("q"), part("r")
+    order = np.argsort(r["ids"], kind="stable")
+    r = {c: v[order] for c, v in r.items()}
+    for k in range(0, len(q["ids"]), size):
+        yield {c: v[k : k + size] for c, v in q.items()}, r
+
+
+def related(table: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
     """The sessions most related to each query: cosine with bonuses for equal labels, shared topics, title words and category.
 
-    Candidates are the ``pool`` nearest of other titles; below a cosine of 0.45 they need a common title word.
+    Every row of another title is scored, inside the products of blocks, so nothing is left out before the ranking.
+    Candidates have the query's focus or a common title word; up to a cosine of 0.45 they need the word.
     """
     rows = written(valid_vectors(table))
-    near = nearest(rows.select("row_id", "u"), rows.filter("row_id % 100 = 0").select("row_id", "u"), pool)
     s = current_sessions(sessions).filter("url <> ''").groupBy("url").agg(F.max(F.struct("id", "topics", "session_category")).alias("s"))
     tokens = F.filter(token_set(F.col("title")), lambda t: (F.length(t) > 2) & ~t.isin(TITLE_STOP))
-    full = written(rows.join(s, "url", "left").select("row_id", F.lower(F.trim("title")).alias("title"), "ai_focus", "theme", "audience", tokens.alias("tokens"), F.array_distinct(F.transform(F.filter(F.coalesce("s.topics", F.array().cast("array<string>")), lambda x: x.isNotNull()), F.lower)).alias("topics"), F.lower(F.trim("s.session_category")).alias("category")))
-    a = full.select(F.col("row_id").alias("query_id"), F.struct(*[c for c in full.columns if c != "row_id"]).alias("a"))
-    d = near.join(a, "query_id").join(full.select("row_id", F.struct(*[c for c in full.columns if c != "row_id"]).alias("b")), "row_id")
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    d = d.filter(~F.col("a.title").eqNullSafe(F.col("b.title")) & ((F.col("a.ai_focus") == F.col("b.ai_focus")) | (shared > 0)) & ((F.col("cosine") > 0.45) | (shared > 0)))
-    same = lambda f, w: F.when((F.col(f"a.{f}") != "") & (F.col(f"a.{f}") == F.col(f"b.{f}")), w).otherwise(0.0)
-    ratio = lambda n, m: F.when(m > 0, n / m).otherwise(0.0)
-    topic = ratio(F.size(F.array_intersect("a.topics", "b.topics")), F.size(F.array_union("a.topics", "b.topics")))
-    words = ratio(shared, F.greatest(F.size("a.tokens"), F.size("b.tokens")))
-    score = F.col("cosine") + same("ai_focus", 0.03) + same("theme", 0.03) + same("audience", 0.02) + topic * 0.06 + words * 0.05 + same("category", 0.015)
-    d = d.withColumn("score", F.round(score, 4))
+    topics = F.array_distinct(F.transform(F.filter(F.coalesce("s.topics", F.array().cast("array<string>")), lambda x: x.isNotNull()), F.lower))
+    title = F.coalesce(F.concat(F.lit("="), F.lower(F.trim("title"))), F.lit(""))  # apart from a missing one
+    full = written(rows.join(s, "url", "left").select("row_id", "u", title.alias("title"), "ai_focus", "theme", "audience", tokens.alias("tokens"), topics.alias("topics"), F.coalesce(F.lower(F.trim("s.session_category")), F.lit("")).alias("category")))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                for q, r in _sliced(row):
+                    cos, score = _related_scores(q, r)
+                    least = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, [min(k, score.shape[1]) - 1]]
+                    i, j = np.nonzero((score >= least) & (score > -np.inf))
+                    order = np.lexsort((j, -cos[i, j], -score[i, j], i))
+                    i, j = i[order], j[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[first], j[first]
+                    yield pd.DataFrame({"query_id": q["ids"][i], "row_id": r["ids"][j], "score": score[i, j], "cosine": cos[i, j]})
+
+    d = _meetings(full, full.filter("row_id % 100 = 0")).mapInPandas(best, "query_id long, row_id long, score double, cosine double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("cosine").desc(), "row_id"))
     return d.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "row_id", "score", "cosine", "place")
 

@@ -65,6 +65,43 @@ def test_nearest_equals_brute_force(spark):
         assert [got[q, r] for r in range(1, 5)] == best
 
 
+def embedded(spark, rows):
+    """Rows of embeddings from (row_id, title, vector, ai_focus, theme, audience)."""
+    data = [(k, t, f"u/{k}", (f, h, a), [float(v) for v in x]) for k, t, x, f, h, a in rows]
+    return spark.createDataFrame(data, "row_id long, title string, url string, labels struct<ai_focus: string, theme: string, audience: string>, embedding array<double>")
+
+
+def test_related_equals_brute_force_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 100)
+    rng = np.random.default_rng(8)
+    x, base = rng.normal(size=(400, 64)), rng.normal(size=64)
+    x = base + 0.4 * x
+    x[:130] = base + 0.01 * x[:130]  # rows of one title, nearest to each other
+    word = lambda: "".join(rng.choice(list("abcdef"), 2)) + "xx"
+    rows = [(k, "Same title" if k < 130 else None if k % 50 == 1 else f"{word()} {word()} {word()}", x[k], rng.choice(["AI", "Not AI", ""]).item(), rng.choice(["Data", "Infra"]).item(), rng.choice(["", "All", "Few"]).item()) for k in range(400)]
+    topics = {k: sorted({word()[:2] for _ in range(3)}) for k in range(0, 400, 2)}
+    catalogue = [(str(k), f"u/{k}", topics[k], ["Talk", " talk", "", None][k % 4]) for k in topics]
+    sessions = spark.createDataFrame(catalogue, "id string, url string, topics array<string>, session_category string")
+    got = {(r["query_id"], r["place"]): (r["row_id"], r["score"]) for r in vectors.related(embedded(spark, rows), sessions).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cat = {int(i): (c or "").strip().lower() for i, _, _, c in catalogue}
+    words = [set((t or "").lower().split()) for _, t, *_ in rows]
+    want = {}
+    for q in range(0, 400, 100):
+        scored = []
+        for k in range(400):
+            cos, shared = round(float(u[q] @ u[k]), 6), len(words[q] & words[k])
+            if k == q or rows[k][1] == rows[q][1] or not (rows[k][3] == rows[q][3] or shared) or not (cos > 0.45 or shared):
+                continue
+            a, b = set(topics.get(q, [])), set(topics.get(k, []))
+            bonus = sum(w for w, c in ((0.03, 3), (0.03, 4), (0.02, 5)) if rows[q][c] and rows[q][c] == rows[k][c])
+            bonus += 0.06 * len(a & b) / max(1, len(a | b)) + 0.05 * shared / max(1, len(words[q]), len(words[k])) + 0.015 * (cat.get(q, "") != "" and cat.get(q) == cat.get(k))
+            scored.append((-cos - bonus, k))
+        want |= {(q, n): p for n, p in enumerate(sorted(scored)[:5], 1)}
+    assert set(got) == set(want) and len(want) == 20
+    assert all(abs(got[p][1] + want[p][0]) < 1e-4 for p in want) and sum(got[p][0] == want[p][1] for p in want) >= 18
+
+
 def test_snapshot_files(spark, tmp_path):
     one = {"scraped_at": "2027-03-01T10:00:00Z", "sessions": [{"id": "1", "title": "a", "capacity": "40", "remaining_capacity": ""}, {"id": "", "title": "none"}]}
     (tmp_path / "2027-03-01.json").write_text(json.dumps(one))
