@@ -181,20 +181,35 @@ def related(table: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
     return d.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "row_id", "score", "cosine", "place")
 
 
-def blocked_neighbours(table: DataFrame, k: int = 9, pool: int = 180, common: float = 0.2, every: int = 100) -> DataFrame:
-    """The nearest of those that share a telling title word, the ``pool`` with most shared words going to the comparison.
+def blocked_neighbours(table: DataFrame, k: int = 9, pool: int = 180, every: int = 100) -> DataFrame:
+    """The nearest of those that share a title word, the ``pool`` with most shared words going to the comparison.
 
-    Words in more than the share ``common`` of all titles don't tell; ties in shared words go to the greater id.
+    Ties in shared words go to the greater id. Every word counts, however frequent: shared words are counted inside the
+    products of blocks, which pass on at most ``pool`` rows per query. A query that shares no word is compared with all rows.
     """
-    rows = written(valid_vectors(table))
-    words = rows.select("row_id", F.explode(F.filter(token_set(F.col("title")), lambda t: (F.length(t) > 2) & ~t.isin(TITLE_STOP))).alias("w"))
-    often = words.groupBy("w").agg(F.count("*").alias("n")).join(rows.agg(F.count("*").alias("all"))).filter(F.col("n") <= F.col("all") * common).select("w")
-    telling = words.join(often, "w")
-    q = telling.filter(F.col("row_id") % every == 0).select(F.col("row_id").alias("query_id"), "w")
-    shared = q.join(telling, "w").filter("query_id <> row_id").groupBy("query_id", "row_id").agg(F.count("*").alias("shared"))
+    tokens = F.filter(token_set(F.col("title")), lambda t: (F.length(t) > 2) & ~t.isin(TITLE_STOP))
+    rows = written(valid_vectors(table).select("row_id", "u", tokens.alias("tokens")))
+    queries = rows.filter(F.col("row_id") % every == 0)
+
+    def most(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                for q, r in _sliced(row):
+                    shared, n = _shared(q["tokens"], r["tokens"]), len(r["ids"])
+                    shared[q["ids"][:, None] == r["ids"][None]] = 0
+                    key = shared.astype(np.int64) * n + np.arange(n)  # by shared words, then by id
+                    j = np.argpartition(-key, min(pool, n) - 1, axis=1)[:, :pool]
+                    i = np.repeat(np.arange(len(j)), j.shape[1])
+                    j = j.ravel()
+                    i, j = i[shared[i, j] > 0], j[shared[i, j] > 0]
+                    cos = np.round(np.stack(q["u"]) @ np.stack(r["u"]).T, 6)
+                    yield pd.DataFrame({"query_id": q["ids"][i], "row_id": r["ids"][j], "shared": shared[i, j].astype(np.int64), "cosine": cos[i, j]})
+
+    found = _meetings(rows, queries).mapInPandas(most, "query_id long, row_id long, shared long, cosine double")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("shared").desc(), F.col("row_id").desc()))
-    kept = shared.withColumn("p", first).filter(F.col("p") <= pool)
-    d = kept.join(rows.select("row_id", "u"), "row_id").join(rows.select(F.col("row_id").alias("query_id"), F.col("u").alias("qu")), "query_id")
-    d = d.select("query_id", "row_id", "shared", F.round(dot(F.col("u"), F.col("qu")), 6).alias("cosine"))
+    kept = written(found.withColumn("p", first).filter(F.col("p") <= pool).drop("p"))
+    alone = queries.join(kept.select(F.col("query_id").alias("row_id")).distinct(), "row_id", "left_anti")
+    near = nearest(rows.select("row_id", "u"), written(alone.select("row_id", "u")), k)
+    d = kept.unionByName(near.select("query_id", "row_id", F.lit(0).cast("long").alias("shared"), "cosine"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "row_id"))
     return d.withColumn("place", place).filter(F.col("place") <= k)

@@ -102,6 +102,25 @@ def test_related_equals_brute_force_over_all_rows(spark, monkeypatch):
     assert all(abs(got[p][1] + want[p][0]) < 1e-4 for p in want) and sum(got[p][0] == want[p][1] for p in want) >= 18
 
 
+def test_blocked_neighbours_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 64))
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 2)) + "xx"
+    titles = [f"Weekly forum {word()}" if k < 150 else f"{word()} {word()}" for k in range(400)]
+    titles[100], titles[200], titles[300] = "Weekly forum", "for the one", None
+    got = {(r["query_id"], r["place"]): (r["row_id"], r["shared"]) for r in vectors.blocked_neighbours(embedded(spark, [(k, t, x[k], "", "", "") for k, t in enumerate(titles)]), pool=60).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    words = [set((t or "").lower().split()) - set(vectors.TITLE_STOP) for t in titles]
+    want = {}
+    for q in range(0, 400, 100):
+        shared = {k: len(words[q] & words[k]) for k in range(400) if k != q}
+        pool = sorted((k for k in shared if shared[k]), key=lambda k: (-shared[k], -k))[:60] or list(shared)
+        best = sorted(pool, key=lambda k: (-round(float(u[q] @ u[k]), 6), k))[:9]
+        want |= {(q, n): (k, shared[k]) for n, k in enumerate(best, 1)}
+    assert got == want and len(want) == 36
+
+
 def test_snapshot_files(spark, tmp_path):
     one = {"scraped_at": "2027-03-01T10:00:00Z", "sessions": [{"id": "1", "title": "a", "capacity": "40", "remaining_capacity": ""}, {"id": "", "title": "none"}]}
     (tmp_path / "2027-03-01.json").write_text(json.dumps(one))
