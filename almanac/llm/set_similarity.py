@@ -4,7 +4,7 @@ Equal sets are taken together first. Every tree orders the sets by its own minha
 of the signature are neighbours. How deep the prefix goes is chosen from the data: deeper neighbourhoods are smaller
 but need more trees for the same recall, and the number of trees follows from the target recall at the threshold.
 A neighbourhood that is crowded all the same, because a frequent element comes first in its tree, is deepened
-further, and trees are added to make up for that. Neighbours are filtered by their elements' hashes and verified on the
+further, and its sets get all the trees that the greater depth needs for that recall. Neighbours are filtered by their elements' hashes and verified on the
 elements themselves.
 """
 
@@ -27,7 +27,7 @@ PILOT_TREES = 3
 #: Cost of shuffling one row of a tree, in comparisons of a pair.
 ROW_COST = 20
 SEED = 20270
-#: Sets from which on a neighbourhood is deepened by EXTRA_DEPTH, and the share of trees added for what that costs in recall.
+#: Sets from which on a neighbourhood is deepened by EXTRA_DEPTH, and the share of trees added at either depth, since a pair may be missed at both.
 CROWDED, EXTRA_DEPTH, EXTRA_TREES = 500, 2, 0.25
 
 
@@ -85,14 +85,15 @@ def similar_sets(sets: DataFrame, threshold: float, common: int = 1) -> DataFram
     """
     hashed = written(sets.filter(F.size("items") >= max(1, common)).select("set_id", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
     depth = choose_depth(hashed, threshold)
-    trees = math.ceil(trees_needed(threshold, depth) * (1 + EXTRA_TREES))
+    deep = depth + EXTRA_DEPTH
+    trees, deep_trees = (math.ceil(trees_needed(threshold, d) * (1 + EXTRA_TREES)) for d in (depth, deep))
     kind = "set_id string, hashes array<long>, keys array<long>"
-    plain = hashed.select("set_id", "hashes").mapInPandas(_sketcher(trees, depth, [depth]), kind).select(F.posexplode("keys").alias("tree", "prefix"))
-    crowded = materialize(plain.groupBy("tree", "prefix").count().filter(F.col("count") > CROWDED).select("tree", "prefix", F.lit(True).alias("crowded")))
-    both = hashed.select("set_id", "hashes").mapInPandas(_sketcher(trees, depth + EXTRA_DEPTH, [depth, depth + EXTRA_DEPTH]), kind)
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("keys", t * 2).alias("prefix"), F.get("keys", t * 2 + 1).alias("deep")))
-    nodes = both.select("set_id", "hashes", F.explode(pairs).alias("n")).select("set_id", "hashes", "n.*")
-    nodes = nodes.join(small(crowded), ["tree", "prefix"], "left").select("set_id", "hashes", "tree", F.when(F.col("crowded"), F.col("deep")).otherwise(F.col("prefix")).alias("prefix"))
+    forest = lambda d, n, levels: d.select("set_id", "hashes").mapInPandas(_sketcher(n, levels, [levels]), kind).select("set_id", "hashes", F.posexplode("keys").alias("tree", "prefix"))
+    plain = forest(hashed, trees, depth)
+    crowded = materialize(plain.groupBy("tree", "prefix").count().filter(F.col("count") > CROWDED).select("tree", "prefix"))
+    hot = written(plain.join(small(crowded), ["tree", "prefix"], "left_semi").select("set_id").distinct())
+    below = forest(hashed.join(hot, "set_id", "left_semi"), deep_trees, deep).withColumn("tree", -1 - F.col("tree"))  # apart from the others
+    nodes = plain.join(small(crowded), ["tree", "prefix"], "left_anti").select("set_id", "hashes", "tree", "prefix").unionByName(below)
     a, b = nodes.alias("a"), nodes.alias("b")
     na, nb = F.size("a.hashes"), F.size("b.hashes")
     near = (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.tree") == F.col("b.tree")) & (F.col("a.set_id") < F.col("b.set_id"))

@@ -124,6 +124,16 @@ def test_pairs_equal_brute_force(spark):
     assert set_similarity.topic_pairs(sessions(spark, rows).limit(0)).count() == 0
 
 
+def test_crowded_neighbourhoods_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(set_similarity, "CROWDED", 1)  # every prefix that a pair shares is crowded
+    rows = []
+    for k in range(800):
+        both = [f"t{k} {j}" for j in range(6)]
+        rows += [(f"{k}a", both + [f"a{k} {j}" for j in range(2)]), (f"{k}b", both + [f"b{k} {j}" for j in range(2)])]
+    got = set_similarity.similar_sets(spark.createDataFrame(rows, "set_id string, items array<string>"), 0.6, 4).collect()
+    assert sorted(map(tuple, got)) == sorted((f"{k}a", f"{k}b") for k in range(800))
+
+
 def test_trees_keep_the_recall():
     assert [set_similarity.trees_needed(0.6, d) for d in (1, 2, 3)] == [11, 21, 38]
     rng = np.random.default_rng(3)
