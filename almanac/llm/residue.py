@@ -21,8 +21,8 @@ from almanac.session import written
 
 #: Features are counted in so many hash buckets: the size of the model, whatever the corpus.
 BUCKETS = 1 << 20
-#: Passages at most that the classifier is fitted on, of each kind; all passages of all texts are scored.
-FIT_TRUSTED, FIT_UNLABELLED = 40_000, 200_000
+#: Unlabelled passages at most that the classifier is fitted on, besides all trusted ones; all passages of all texts are scored.
+FIT_UNLABELLED = 200_000
 ROUNDS = 6
 #: Weight, in passages, of the words' background in either class, so that rare words say little.
 SMOOTHING = 40.0
@@ -175,28 +175,32 @@ def _weights(counts: pd.DataFrame, docs_p: float, docs_n: float) -> np.ndarray:
 def fit(found: DataFrame) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias; found: ``(doc_id, place, features, sure)`` of all passages.
 
-    Of each kind a part chosen by hash, bounded by FIT_TRUSTED and FIT_UNLABELLED, is fitted on; what comes to the
-    driver each round is at most one row per bucket. Without trusted passages nothing is found.
+    The features of all trusted passages are counted once; of the unlabelled ones a part chosen by hash, bounded by
+    FIT_UNLABELLED, is fitted on and counts for all of them. What comes to the driver each round is at most one row per
+    bucket. Without trusted passages nothing is found.
     """
     spark = found.sparkSession
     totals = found.agg(F.count_if("sure").alias("p"), F.count_if(~F.col("sure")).alias("n")).first()
     if not totals["p"] or not totals["n"]:
         return np.zeros(BUCKETS), -1.0
+    known = found.filter("sure").select(F.explode("features").alias("bucket")).groupBy("bucket").agg(F.count("*").cast("double").alias("p"), F.lit(0.0).alias("n")).toPandas()
     pick = F.pmod(F.xxhash64("doc_id", "place", F.lit("fit")), F.lit(1_000_003)) / 1_000_003.0
-    share = F.when(F.col("sure"), F.lit(min(1.0, FIT_TRUSTED / totals["p"]))).otherwise(min(1.0, FIT_UNLABELLED / totals["n"]))
-    sample = written(found.filter(pick < share).select("features", "sure"))
-    sizes = sample.agg(F.count_if("sure").alias("p"), F.count_if(~F.col("sure")).alias("n")).first()
-    likely = F.when(F.col("sure"), 1.0).otherwise(0.0)
-    rated = sample.select("features", "sure", likely.alias("r"))
+    sample = written(found.filter(~F.col("sure") & (pick < min(1.0, FIT_UNLABELLED / totals["n"]))).select("features"))
+    size = sample.count()
+    if not size:
+        return np.zeros(BUCKETS), -1.0
+    scale = totals["n"] / size
+    rated = sample.select("features", F.lit(0.0).alias("r"))
     weights, bias = np.zeros(BUCKETS), 0.0
     for _ in range(ROUNDS):
-        mass = rated.select(F.explode("features").alias("bucket"), "r").groupBy("bucket").agg(F.sum("r").alias("p"), F.sum(1 - F.col("r")).alias("n")).toPandas()
-        extra = float(rated.agg(F.sum(F.when(F.col("sure"), 0.0).otherwise(F.col("r")))).first()[0] or 0.0)
-        weights = _weights(mass, sizes["p"] + extra, sizes["n"] - extra)
-        bias = float(np.log(max(PRIOR, extra / sizes["n"])) - np.log(1 - min(0.5, extra / sizes["n"])))
+        mass = rated.select(F.explode("features").alias("bucket"), "r").groupBy("bucket").agg((F.sum("r") * scale).alias("p"), (F.sum(1 - F.col("r")) * scale).alias("n")).toPandas()
+        extra = float(rated.agg(F.sum("r")).first()[0] or 0.0)
+        mass = pd.concat([known, mass]).groupby("bucket", as_index=False).sum()
+        weights = _weights(mass, totals["p"] + extra * scale, (size - extra) * scale)
+        bias = float(np.log(max(PRIOR, extra / size)) - np.log(1 - min(0.5, extra / size)))
         run = scorer(spark.sparkContext.broadcast(weights), bias)
-        scored = sample.mapInPandas(lambda it, run=run: ((y := x.copy(), next(run(iter([y]))).assign(features=x["features"]))[1] for x in it), "sure boolean, score double, features array<int>")
-        rated = scored.select("features", "sure", F.when(F.col("sure"), 1.0).otherwise(1 / (1 + F.exp((MARGIN - F.col("score")) / TEMPER))).alias("r"))
+        scored = sample.mapInPandas(lambda it, run=run: ((y := x.copy(), next(run(iter([y]))).assign(features=x["features"]))[1] for x in it), "score double, features array<int>")
+        rated = scored.select("features", (1 / (1 + F.exp((MARGIN - F.col("score")) / TEMPER))).alias("r"))
     return weights, bias
 
 

@@ -265,6 +265,15 @@ def test_residue(spark):
     assert got - set(range(first, first + len(bad))) - {len(texts) - 1} == set()
 
 
+def test_rare_trusted_wordings_are_learnt(spark, monkeypatch):
+    """A trusted wording that stands once among many of another is found, however few passages are fitted on."""
+    monkeypatch.setattr(residue, "FIT_TRUSTED", 5, raising=False)
+    trusted = [f"Please enable JavaScript to view the agenda of summit {k}." for k in range(200)] + ["Lorem ipsum dolor sit amet consectetur."]
+    good = [f"The noun{k % 40} shows how noun{k % 30} met noun{k % 7}. It took {k} weeks." for k in range(600)]
+    got = {r["doc_id"] for r in residue.p9_found(docs(spark, [*good, *trusted])).collect()}
+    assert got == set(range(600, 801))
+
+
 def test_unlabelled_positives_are_learnt(spark):
     """Notices without a trusted pattern are found through the words that they share with trusted ones."""
     trusted = [f"Please enable JavaScript to view the {x} of the summit in your browser." for x in ("agenda", "map", "list", "library") for _ in range(20)]
