@@ -146,27 +146,28 @@ def test_trees_keep_the_recall():
 
 # Clusters -------------------------------------------------------------------------------------------------------------
 
-VECTORS = f"row_id long, embedding array<double>, labels struct<theme: string>, {CLASH}"
+VECTORS = f"row_id long, embedding array<double>, labels struct<theme: string, ai_focus: string, audience: string>, {CLASH}"
 
 
 def test_clusters_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "CHUNK", 40)
+    monkeypatch.setattr(clusters, "CHUNK", 60)
     monkeypatch.setattr(clusters, "BLOCK_ROWS", 20)
     rng = np.random.default_rng(5)
     rows, size, k = [], [150, 30, 2, 2, 3, 5, 2, 2] + [1] * 200, 0
     want = {}
+    data, ops = ("Data", "AI", ""), ("Ops", None, None)
     for n in size:
         center = rng.normal(size=64)
         center /= np.linalg.norm(center)
         first = k
         for _ in range(n):
             x = (center + rng.normal(size=64) * 0.035) * rng.uniform(0.2, 5)
-            rows.append((k, [float(v) for v in x], ("Data",), *BLANK))
+            rows.append((k, [float(v) for v in x], data, *BLANK))
             if n > 1:
                 want[k] = first
             k += 1
     same = rows[0][1]
-    rows += [(k + j, same, ("Ops",), *BLANK) for j in range(100)] + rows[:7]
+    rows += [(k + j, same, ops, *BLANK) for j in range(100)] + rows[:7]
     want |= {k + j: 0 for j in range(100)}
     rows += [(9001, None, None, *BLANK), (9002, [], None, *BLANK), (9003, [1.0] * 63, None, *BLANK), (9004, [0.0] * 64, None, *BLANK), (None, same, None, *BLANK), (9005, [float("nan")] * 64, None, *BLANK)]
     rng.shuffle(rows)
@@ -174,8 +175,46 @@ def test_clusters_equal_brute_force(spark, monkeypatch):
     got = clusters.session_clusters(df).collect()
     assert {r["row_id"]: r["cluster_id"] for r in got} == want and len(got) == len(want)
     profile = {r["cluster_id"]: r for r in clusters.cluster_profiles(df).collect()}
-    assert profile[0]["size"] == 250 and profile[0]["theme"] == "Data" and len(profile[0]["typical"]) == 3
-    assert clusters.session_clusters(df.limit(0)).count() == 0
+    assert tuple(profile[0])[1:] == (250, "Data", 150, "AI", 150, None, 0) and profile[150]["size"] == 30
+    for none in (clusters.session_clusters, clusters.cluster_profiles, clusters.typical_members):
+        assert none(df.limit(0)).count() == 0
+
+
+def test_typical_members_are_the_densest(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for c in range(3):
+        center = rng.normal(size=64)
+        rows += [(c * 100 + j, [float(v) for v in center + rng.normal(size=64) * (0.02 if j in (7, 13) else 0.3)], None, *BLANK) for j in range(40)]
+    top = clusters.typical_members(spark.createDataFrame(rows, VECTORS), 2).collect()
+    assert {(r["cluster_id"], r["row_id"]) for r in top} == {(c * 100, c * 100 + j) for c in range(3) for j in (7, 13)}
+    assert sorted(r["place"] for r in top) == [1, 1, 1, 2, 2, 2]
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def block_of(groups, seed=6):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(len(groups), 64))
+    u = np.concatenate([c / np.linalg.norm(c) + rng.normal(size=(n, 64)) * 0.03 for c, n in zip(centers, groups)])
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    return u, clusters.pd.DataFrame({"id": np.arange(len(u)), "u": [x.tobytes() for x in u]})
+
+
+def test_the_mixture_decides(monkeypatch):
+    """With a mixture of one component nothing but that component's neighbourhood is left."""
+    u, pdf = block_of([5, 8, 13, 2, 1, 1, 1])
+    run = clusters._grouped(64, Shared(u.mean(axis=0)), Shared(np.eye(64, dtype=np.float32)), 1.0)
+    want = [(k, 5 * (k >= 5) + 8 * (k >= 13) + 13 * (k >= 26)) for k in range(28)]
+    groups = {}
+    for i, h in run(pdf).itertuples(index=False):
+        groups.setdefault(h, {h}).add(i)
+    assert sorted(map(min, groups.values())) == sorted({g for _, g in want}) and sum(map(len, groups.values())) == 28
+    monkeypatch.setattr(clusters, "fit_mixture", lambda x, means, floor: (0.0, np.zeros(len(x), np.int64), np.zeros(len(x))))
+    assert len(run(pdf)) < 28 - 4
 
 
 def test_criterion_splits_two_groups():
@@ -186,6 +225,23 @@ def test_criterion_splits_two_groups():
     assert two < one and len(set(own[:20])) == 1 and own[0] != own[-1]
 
 
+def test_covariances_follow_the_rows():
+    """A component that is wide along one feature keeps rows far along it, which one of equal variances would lose."""
+    rng = np.random.default_rng(8)
+    wide = rng.normal(size=(300, 4)) * [2.0, 0.1, 0.1, 0.1]
+    tight = rng.normal(size=(60, 4)) * 0.1 + [0, 1.2, 0, 0]
+    x = np.concatenate([wide, tight])
+    own = clusters.fit_mixture(x, np.array([[0.0, 0, 0, 0], [0, 1.2, 0, 0]]), 0.01)[1]
+    assert (own[:300] == own[0]).mean() > 0.99 and (own[300:] == own[320]).all()
+
+
+def test_rows_at_the_bound_meet():
+    for axes in ((4, 0), (64, 0), (64, 4)):
+        p = clusters.meeting_chance(64, axes, clusters.SIMILARITY)
+        assert 0.03 < p < 0.95
+    assert clusters.buckets_of((64, 4)) == 1024
+
+
 # Spellings ------------------------------------------------------------------------------------------------------------
 
 PEOPLE = f"code string, speakers array<struct<name: string, role: string, company: string, affiliation: string>>, {CLASH}"
