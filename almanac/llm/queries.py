@@ -7,6 +7,7 @@ from almanac.session import table
 
 QUERIES = {
     "p3_found": lambda spark, d: set_similarity.topic_pairs(table(spark, d, "classified_sessions")),
+    "p3_links": lambda spark, d: set_similarity.topic_links(table(spark, d, "classified_sessions")),
     "p4_found": lambda spark, d: clusters.session_clusters(table(spark, d, "session_embeddings_v2")),
     "p4_profiles": lambda spark, d: clusters.cluster_profiles(table(spark, d, "session_embeddings_v2")),
     "p4_typical": lambda spark, d: clusters.typical_members(table(spark, d, "session_embeddings_v2")),
@@ -19,15 +20,15 @@ QUERIES = {
     "p9_found": lambda spark, d: residue.p9_found(table(spark, d, "documents")),
 }
 
-TOPICS = r"""
+_TOPICS = r"""
 WITH parts AS (
   SELECT DISTINCT id, trim(regexp_replace(lower(t), '[\s\x{85}\p{Z}]+', ' ', 'g')) AS topic
   FROM (SELECT id, unnest(string_split(e, '|')) AS t FROM (SELECT id, unnest(topics) AS e FROM classified_sessions WHERE id IS NOT NULL) WHERE e IS NOT NULL)
-), topics AS (SELECT * FROM parts WHERE topic <> ''), sizes AS (SELECT id, count(*) AS n FROM topics GROUP BY id)
-SELECT id_a, id_b FROM (
+), topics AS (SELECT * FROM parts WHERE topic <> ''), sizes AS (SELECT id, count(*) AS n, list(topic ORDER BY topic) AS items FROM topics GROUP BY id),
+pairs AS (SELECT id_a, id_b FROM (
   SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM topics a JOIN topics b ON a.topic = b.topic AND a.id < b.id GROUP BY 1, 2
 ) p JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b
-WHERE shared >= 4 AND shared * 10 >= 6 * (x.n + y.n - shared)
+WHERE shared >= 4 AND shared * 10 >= 6 * (x.n + y.n - shared))
 """
 
 _TERMS = r"""
@@ -48,7 +49,10 @@ _LABEL = """{0}s AS (SELECT cluster_id, arg_min({0}, (-n, {0})) AS {0}, coalesce
   FROM (SELECT cluster_id, nullif({0}, '') AS {0}, CASE WHEN nullif({0}, '') IS NOT NULL THEN count(*) END AS n FROM labelled GROUP BY ALL) WHERE {0} IS NOT NULL GROUP BY cluster_id)"""
 
 ORACLES = {
-    "p3_found": TOPICS,
+    "p3_found": _TOPICS + "SELECT id_a, id_b FROM pairs",
+    "p3_links": _TOPICS
+    + """SELECT id, min(id) OVER w AS set_id, count(*) OVER w - 1 AS copies, coalesce(links, 0) AS links FROM sizes
+LEFT JOIN (SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY id) USING (id) WHERE n >= 4 WINDOW w AS (PARTITION BY items)""",
     "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT term, tf, df, mark FROM marked",
     "p4_found": _CLUSTERS + "SELECT row_id, cluster_id FROM placed",
@@ -91,7 +95,10 @@ _LABEL = """{0}s AS (SELECT cluster_id, arg_min({0}, (-n, {0})) AS {0}, coalesce
   FROM (SELECT cluster_id, nullif({0}, '') AS {0}, CASE WHEN nullif({0}, '') IS NOT NULL THEN count(*) END AS n FROM labelled GROUP BY ALL) WHERE {0} IS NOT NULL GROUP BY cluster_id)"""
 
 ORACLES = {
-    "p3_found": TOPICS,
+    "p3_found": _TOPICS + "SELECT id_a, id_b FROM pairs",
+    "p3_links": _TOPICS
+    + """SELECT id, min(id) OVER w AS set_id, count(*) OVER w - 1 AS copies, coalesce(links, 0) AS links FROM sizes
+LEFT JOIN (SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY id) USING (id) WHERE n >= 4 WINDOW w AS (PARTITION BY items)""",
     "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT term, tf, df, mark FROM marked",
     "p4_found": """

@@ -1,11 +1,12 @@
 """All similar pairs between set-valued records, by a forest of sorted minhash sketches.
 
-Equal sets are taken together first. Every tree orders the sets by its own minhash signature; sets that share a prefix
-of the signature are neighbours. How deep the prefix goes is chosen from the data: deeper neighbourhoods are smaller
-but need more trees for the same recall, and the number of trees follows from the target recall at the threshold.
-A neighbourhood that is crowded all the same, because a frequent element comes first in its tree, is deepened
-further, and its sets get all the trees that the greater depth needs for that recall. Neighbours are filtered by their elements' hashes and verified on the
-elements themselves.
+Equal sets are taken together first. Every tree orders the sets lexicographically by its own minhash signature, so that
+sets with a common prefix stand side by side. The order is walked: a neighbourhood of sets with a common prefix of length
+1 is deepened, place by place, until it has few sets or the signature ends. A pair at the threshold shares a prefix of
+length d with probability threshold ** d, so every set knows from the depths of its own neighbourhoods what the chance is
+that a partner was missed in all trees so far; sets go on to further trees until that chance is below the target.
+Sets in crowded neighbourhoods are deepened further and therefore get more trees; nothing is dropped. Neighbours are
+filtered by their elements' hashes and verified on the elements themselves.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from almanac.functions.text import squeeze
 from almanac.session import materialize, small, written
 
 RECALL = 0.9999
-MAX_DEPTH = 8
-PILOT_TREES = 3
-#: Cost of shuffling one row of a tree, in comparisons of a pair.
-ROW_COST = 20
+#: Length of a signature, and the sets from which on a neighbourhood is deepened.
+MAX_DEPTH, NODE = 6, 40
+#: Trees of the first round and at most of any other one.
+FIRST_TREES, MOST_TREES = 12, 48
+#: Rows with the same beginning of a signature that a task sorts and walks; what is larger is parted by the next places.
+SPLIT = 100_000
 SEED = 20270
-#: Sets from which on a neighbourhood is deepened by EXTRA_DEPTH, and the share of trees added at either depth, since a pair may be missed at both.
-CROWDED, EXTRA_DEPTH, EXTRA_TREES = 500, 2, 0.25
 
 
 def trees_needed(threshold: float, depth: int, recall: float = RECALL) -> int:
@@ -42,40 +43,85 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(hashes: list[np.ndarray], tree: int, depth: int) -> np.ndarray:
-    """For each set, the hashes of its signature's prefixes of length 1 to ``depth`` in a tree; sets aren't empty."""
+def signatures(hashes: list[np.ndarray], tree: int) -> np.ndarray:
+    """For each set its minhash signature in a tree, as 32-bit numbers; sets aren't empty."""
     flat = np.concatenate(hashes).astype(np.int64).view(np.uint64)
     starts = np.cumsum([0, *map(len, hashes)])[:-1]
-    out = np.empty((len(hashes), depth), np.uint64)
-    prefix = np.full(len(hashes), np.uint64(tree))
+    out = np.empty((len(hashes), MAX_DEPTH), np.int32)
     with np.errstate(over="ignore"):
-        for level in range(depth):
+        for level in range(MAX_DEPTH):
             salt = _mix(np.array([SEED + tree * 64 + level], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            prefix = _mix(prefix * np.uint64(3) ^ np.minimum.reduceat(_mix(flat ^ salt), starts))
-            out[:, level] = prefix
-    return out.view(np.int64)
+            out[:, level] = (np.minimum.reduceat(_mix(flat ^ salt), starts) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    return out
 
 
-def _sketcher(trees: int, depth: int, levels: list[int]):
-    """Adds ``keys``: of each tree, the hashes of the prefixes of the given lengths."""
-
+def _sketcher(trees: range):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 sets = list(pdf["hashes"])
-                keys = np.concatenate([prefix_hashes(sets, t, depth)[:, [k - 1 for k in levels]] for t in range(trees)], axis=1)
-                yield pdf.assign(keys=list(keys))
+                for t in trees:
+                    yield pd.DataFrame({"set_id": pdf["set_id"], "tree": np.int32(t), "sig": list(signatures(sets, t))})
 
     return run
 
 
-def choose_depth(sets: DataFrame, threshold: float) -> int:
-    """The depth at which shuffling the trees and comparing the neighbours costs least, judged by a few trees of all sets."""
-    pilot = sets.select("set_id", "hashes").mapInPandas(_sketcher(PILOT_TREES, MAX_DEPTH, list(range(1, MAX_DEPTH + 1))), "set_id string, hashes array<long>, keys array<long>")
-    nodes = pilot.select(F.posexplode("keys").alias("level", "prefix")).groupBy("level", "prefix").count()
-    pairs = nodes.groupBy((F.col("level") % MAX_DEPTH + 1).alias("depth")).agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
-    cost = {r["depth"]: trees_needed(threshold, r["depth"]) * (r["pairs"] + ROW_COST * r["n"]) for r in pairs.collect()}
-    return min(cost, key=lambda d: (cost[d], d), default=1)
+def neighbourhoods(place: np.ndarray, sig: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, key and size of each row's neighbourhood; rows are in the order of ``place`` and ``sig``.
+
+    Rows next to each other share a prefix as long as their signatures agree from the first place on. A neighbourhood
+    of depth d is a longest stretch of rows that share d places; ``begin`` is the least depth looked at.
+    """
+    n, most = sig.shape
+    same = np.logical_and.accumulate((sig[1:] == sig[:-1]) & (place[1:] == place[:-1])[:, None], axis=1)
+    common = same.sum(axis=1)
+    depth, size, node = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    key = place.astype(np.int64).view(np.uint64).copy()
+    with np.errstate(over="ignore"):
+        for d in range(1, most + 1):
+            key = _mix(key * np.uint64(3) ^ sig[:, d - 1].astype(np.uint64))
+            stretch = np.cumsum(np.concatenate([[True], common < d])) - 1
+            count = np.bincount(stretch)[stretch]
+            leaf = (depth == 0) & (begin <= d) & ((count <= NODE) | (d == most))
+            depth[leaf], size[leaf], node[leaf] = d, count[leaf], key.view(np.int64)[leaf]
+    return depth, node, size
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks sorted rows place by place; a place may go on over several batches."""
+
+    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth, node, size = neighbourhoods(pdf["place"].to_numpy(), np.stack(pdf["sig"]), pdf["begin"].to_numpy())
+        return pd.DataFrame({"set_id": pdf["set_id"], "depth": depth, "node": node, "size": size})
+
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if len(pdf):
+            place = pdf["place"].to_numpy()
+            cut = int(np.flatnonzero(place != place[-1]).max(initial=-1)) + 1
+            if cut:
+                yield leaves(pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True))
+                rest = []
+            rest.append(pdf.iloc[cut:])
+    if rest:
+        yield leaves(pd.concat(rest, ignore_index=True))
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """Adds ``place``, what is sorted and walked together, and ``begin``, how many places of the signature it stands for.
+
+    A beginning that more than SPLIT rows share is parted by the next place of the signature, again and again: its
+    neighbourhood is crowded at that depth in any case.
+    """
+    beginning = lambda d: F.xxhash64("tree", F.slice("sig", 1, d))
+    out = nodes.withColumn("place", beginning(1)).withColumn("begin", F.lit(1))
+    for d in range(2, MAX_DEPTH + 1):
+        hot = materialize(out.filter(F.col("begin") == d - 1).groupBy("place").count().filter(F.col("count") > SPLIT).select("place", F.lit(True).alias("hot")))
+        if hot.isEmpty():
+            break
+        out = out.join(small(hot), "place", "left")
+        out = out.withColumn("place", F.when(F.col("hot"), beginning(d)).otherwise(F.col("place"))).withColumn("begin", F.when(F.col("hot"), d).otherwise(F.col("begin"))).drop("hot")
+    return out
 
 
 def similar_sets(sets: DataFrame, threshold: float, common: int = 1) -> DataFrame:
@@ -84,21 +130,30 @@ def similar_sets(sets: DataFrame, threshold: float, common: int = 1) -> DataFram
     sets: ``(set_id string, items array<string>)``, distinct sets without repeated items.
     """
     hashed = written(sets.filter(F.size("items") >= max(1, common)).select("set_id", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
-    depth = choose_depth(hashed, threshold)
-    deep = depth + EXTRA_DEPTH
-    trees, deep_trees = (math.ceil(trees_needed(threshold, d) * (1 + EXTRA_TREES)) for d in (depth, deep))
-    kind = "set_id string, hashes array<long>, keys array<long>"
-    forest = lambda d, n, levels: d.select("set_id", "hashes").mapInPandas(_sketcher(n, levels, [levels]), kind).select("set_id", "hashes", F.posexplode("keys").alias("tree", "prefix"))
-    plain = forest(hashed, trees, depth)
-    crowded = materialize(plain.groupBy("tree", "prefix").count().filter(F.col("count") > CROWDED).select("tree", "prefix"))
-    hot = written(plain.join(small(crowded), ["tree", "prefix"], "left_semi").select("set_id").distinct())
-    below = forest(hashed.join(hot, "set_id", "left_semi"), deep_trees, deep).withColumn("tree", -1 - F.col("tree"))  # apart from the others
-    nodes = plain.join(small(crowded), ["tree", "prefix"], "left_anti").select("set_id", "hashes", "tree", "prefix").unionByName(below)
+    target = math.log(1 - RECALL)
+    active, first, trees, found = hashed.select("set_id", "hashes", F.lit(0.0).alias("missed")), 0, FIRST_TREES, None
+    while True:
+        nodes = active.select("set_id", "hashes").mapInPandas(_sketcher(range(first, first + trees)), "set_id string, tree int, sig array<int>")
+        ordered = placed(nodes).repartition("place").sortWithinPartitions("place", "sig")
+        leaves = written(ordered.mapInPandas(_walk, "set_id string, depth int, node long, size long"))
+        near = leaves.filter("size > 1").select("set_id", "node")
+        found = near if found is None else found.unionByName(near)
+        # The chance, as a logarithm, that a partner at the threshold was in none of a set's neighbourhoods.
+        chance = leaves.groupBy("set_id").agg(F.sum(F.log1p(-F.pow(F.lit(threshold), F.col("depth")))).alias("more"))
+        state = active.join(chance, "set_id").select("set_id", "hashes", (F.col("missed") + F.col("more")).alias("missed"))
+        active = written(state.filter(F.col("missed") > target))
+        first += trees
+        left = active.agg(F.max(F.lit(target) / F.col("missed") - 1)).first()[0]
+        if left is None:
+            break
+        # As many further trees as the slowest set needs if its neighbourhoods stay as deep as they were.
+        trees = max(1, min(MOST_TREES, math.ceil(left * first)))
+    nodes = found.join(hashed.select("set_id", "hashes"), "set_id")
     a, b = nodes.alias("a"), nodes.alias("b")
     na, nb = F.size("a.hashes"), F.size("b.hashes")
-    near = (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.tree") == F.col("b.tree")) & (F.col("a.set_id") < F.col("b.set_id"))
+    beside = (F.col("a.node") == F.col("b.node")) & (F.col("a.set_id") < F.col("b.set_id"))
     sized = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9
-    candidates = a.join(b, near & sized & _overlap(F.col("a.hashes"), F.col("b.hashes"), threshold, common)).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
+    candidates = a.join(b, beside & sized & _overlap(F.col("a.hashes"), F.col("b.hashes"), threshold, common)).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
     items = hashed.select("set_id", "items")
     both = candidates.join(items.toDF("set_a", "items_a"), "set_a").join(items.toDF("set_b", "items_b"), "set_b")
     return both.filter(_overlap(F.col("items_a"), F.col("items_b"), threshold, common)).select("set_a", "set_b")
@@ -116,19 +171,40 @@ def topic_set(topics: Column) -> Column:
     return F.array_sort(F.array_distinct(clean))
 
 
-def topic_pairs(sessions: DataFrame, threshold: float = 0.6, common: int = 4) -> DataFrame:
-    """``(id_a, id_b)``, a < b: sessions whose topic sets overlap strongly.
+def topic_sets(sessions: DataFrame, common: int = 4) -> DataFrame:
+    """``(items, set_id, n, id)``: each session with its set of topics, written once; ``n`` sessions have the same set.
 
     One row per id counts (the greatest set if they differ); rows without an id and sets of fewer than ``common``
-    topics have no pairs. Sessions with equal sets are joined through their set, so they cost the search nothing.
+    topics are left out, since they have no pairs.
     """
     once = sessions.filter("id is not null").select("id", topic_set(F.col("topics")).alias("items")).groupBy("id").agg(F.max("items").alias("items"))
-    members = once.filter(F.size("items") >= common)
-    sets = written(members.groupBy("items").agg(F.min("id").alias("set_id"), F.count("*").alias("n")))
-    placed = written(members.join(sets, "items").select("set_id", "id", "n"))
-    pairs = similar_sets(sets, threshold, common)
-    left, right = placed.select(F.col("set_id").alias("set_a"), F.col("id").alias("x")), placed.select(F.col("set_id").alias("set_b"), F.col("id").alias("y"))
+    members = written(once.filter(F.size("items") >= common))
+    sets = members.groupBy("items").agg(F.min("id").alias("set_id"), F.count("*").alias("n"))
+    return written(members.join(sets, "items"))
+
+
+def topic_pairs(sessions: DataFrame, threshold: float = 0.6, common: int = 4) -> DataFrame:
+    """``(id_a, id_b)``, a < b: sessions whose topic sets overlap strongly.
+
+    Sessions with equal sets are joined through their set, so they cost the search nothing; the pairs are as many as
+    asked for. ``topic_links`` gives the same in one row per session. See ``topic_sets`` for which rows count.
+    """
+    members = topic_sets(sessions, common)
+    pairs = similar_sets(members.filter("id = set_id"), threshold, common)
+    left, right = members.select(F.col("set_id").alias("set_a"), F.col("id").alias("x")), members.select(F.col("set_id").alias("set_b"), F.col("id").alias("y"))
     between = pairs.join(left, "set_a").join(right, "set_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    copies = placed.filter("n > 1")
+    copies = members.filter("n > 1")
     within = copies.select("set_id", F.col("id").alias("id_a")).join(copies.select("set_id", F.col("id").alias("id_b")), "set_id").filter("id_a < id_b").select("id_a", "id_b")
     return between.unionByName(within)
+
+
+def topic_links(sessions: DataFrame, threshold: float = 0.6, common: int = 4) -> DataFrame:
+    """``(id, set_id, copies, links)``: one row per session, its set's first session, how many others have the same set, and
+    with how many sessions its set overlaps strongly, those included; links are counted by sets, never expanded.
+    """
+    members = topic_sets(sessions, common)
+    sizes = members.filter("id = set_id").select("set_id", "n")
+    pairs = materialize(similar_sets(members.filter("id = set_id"), threshold, common))
+    both = pairs.unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
+    linked = both.join(sizes.toDF("set_b", "n"), "set_b").groupBy(F.col("set_a").alias("set_id")).agg(F.sum("n").alias("others"))
+    return members.join(linked, "set_id", "left").select("id", "set_id", (F.col("n") - 1).alias("copies"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))

@@ -121,17 +121,57 @@ def test_pairs_equal_brute_force(spark):
                 want.add((a, b))
     got = [tuple(r) for r in set_similarity.topic_pairs(sessions(spark, rows)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and ("dup", "dup2") in want
-    assert set_similarity.topic_pairs(sessions(spark, rows).limit(0)).count() == 0
+    links = {r["id"]: r for r in set_similarity.topic_links(sessions(spark, rows)).collect()}
+    assert {i for i in sets if len(sets[i]) >= 4} == set(links)
+    assert all(links[i]["links"] == sum(i in p for p in want) and links[i]["copies"] == sum(sets[i] == sets[j] for j in sets) - 1 for i in links)
+    for none in (set_similarity.topic_pairs, set_similarity.topic_links):
+        assert none(sessions(spark, rows).limit(0)).count() == 0
 
 
-def test_crowded_neighbourhoods_keep_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(set_similarity, "CROWDED", 1)  # every prefix that a pair shares is crowded
+def tight_pairs(n):
     rows = []
-    for k in range(800):
+    for k in range(n):
         both = [f"t{k} {j}" for j in range(6)]
         rows += [(f"{k}a", both + [f"a{k} {j}" for j in range(2)]), (f"{k}b", both + [f"b{k} {j}" for j in range(2)])]
+    return rows, sorted((f"{k}a", f"{k}b") for k in range(n))
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rows, want = tight_pairs(800)
     got = set_similarity.similar_sets(spark.createDataFrame(rows, "set_id string, items array<string>"), 0.6, 4).collect()
-    assert sorted(map(tuple, got)) == sorted((f"{k}a", f"{k}b") for k in range(800))
+    assert sorted(map(tuple, got)) == want
+
+
+def test_crowded_neighbourhoods_keep_the_recall(spark):
+    """Pairs at the threshold among 1500 sets that all share five frequent elements, so every prefix is crowded at first."""
+    core = [f"hot {j}" for j in range(5)]
+    rows, want = [], []
+    for k in range(750):
+        both = [f"t{k} {j}" for j in range(4)]
+        rows += [(f"{k}a", core + both + [f"a{k} {j}" for j in range(3)]), (f"{k}b", core + both + [f"b{k} {j}" for j in range(3)])]
+        want.append((f"{k}a", f"{k}b"))
+    sets = spark.createDataFrame(rows, "set_id string, items array<string>")
+    got = [tuple(r) for r in set_similarity.similar_sets(sets, 0.6, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
+def test_crowded_beginnings_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(set_similarity, "SPLIT", 1)  # every beginning that sets share is parted by its next places
+    rows = [(k, 0, [7, k % 2, k % 3, k, 0, 0]) for k in range(30)] + [(99, 1, [7, 0, 0, 0, 0, 0])]
+    got = set_similarity.placed(spark.createDataFrame(rows, "set_id long, tree int, sig array<int>")).collect()
+    assert {r["begin"] for r in got if r["tree"] == 0} == {4} and [r["begin"] for r in got if r["tree"] == 1] == [1]
+    assert len({r["place"] for r in got}) == 31
+
+
+def test_neighbourhoods_are_deepened(monkeypatch):
+    monkeypatch.setattr(set_similarity, "NODE", 3)
+    sig = np.array([[1, 1, 1, 0, 0, 0], [1, 1, 2, 0, 0, 0], [1, 2, 1, 0, 0, 0], [1, 2, 1, 0, 0, 0], [2, 1, 1, 0, 0, 0], [2, 1, 2, 0, 0, 0], *[[3, 3, 3, 3, 3, 3]] * 5], np.int32)
+    place = sig[:, 0].astype(np.int64)
+    depth, node, size = set_similarity.neighbourhoods(place, sig, np.ones(11, np.int32))
+    assert depth.tolist() == [2, 2, 2, 2, 1, 1] + [6] * 5 and size.tolist() == [2, 2, 2, 2, 2, 2] + [5] * 5
+    assert len(set(node)) == 4 and node[0] == node[1] != node[2] == node[3]
+    deeper = set_similarity.neighbourhoods(place, sig, np.full(11, 3, np.int32))[0]
+    assert deeper.tolist() == [3] * 6 + [6] * 5
 
 
 def test_trees_keep_the_recall():
@@ -140,7 +180,7 @@ def test_trees_keep_the_recall():
     a = rng.integers(-(2**62), 2**62, size=(2000, 10))
     b = a.copy()
     b[:, 7:] = rng.integers(-(2**62), 2**62, size=(2000, 3))  # 7 of 13 in common
-    same = sum((set_similarity.prefix_hashes(list(a), t, 2)[:, 1] == set_similarity.prefix_hashes(list(b), t, 2)[:, 1]).mean() for t in range(10)) / 10
+    same = sum((set_similarity.signatures(list(a), t)[:, :2] == set_similarity.signatures(list(b), t)[:, :2]).all(axis=1).mean() for t in range(10)) / 10
     assert abs(same - (7 / 13) ** 2) < 0.02
 
 
