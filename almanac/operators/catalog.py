@@ -23,7 +23,11 @@ def last_rows(facts: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
 
 
 def current_sessions(sessions: DataFrame) -> DataFrame:
-    """One row per id of the catalogue: the greatest, if rows of an id differ; rows without an id don't count."""
+    """One row per id of what is given: the greatest, if rows of an id differ; rows without an id don't count.
+
+    Give it only the columns needed, already worked out and filtered where that goes row by row: then only these are
+    read and shuffled, and filters reach the scan.
+    """
     columns = [c for c in sessions.columns if c != "id"]
     once = sessions.filter("id is not null").groupBy("id").agg(F.max(F.struct(*columns)).alias("b"))
     return once.select("id", *[F.col(f"b.`{c}`").alias(c) for c in columns])

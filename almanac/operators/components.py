@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from almanac.session import materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node that has an edge; ``component`` is the smallest node of its component.
 
     edges: ``(a, b)`` of one ordered type; nulls don't count, loops and repeats are harmless. Alternates large-star and
     small-star steps, so the rounds grow with the logarithm of a component's size and no node's neighbours are
-    gathered in one place; each round is checkpointed in the shared folder.
+    gathered in one place; each round is checkpointed in the shared folder. It ends when a round changes nothing, never before.
     """
     given = edges.select(F.greatest("a", "b").alias("u"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b")).alias("v"))
     given = materialize(given.filter("u is not null").distinct())
     links = given.filter("v is not null")
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours.
         both = links.filter("u <> v").unionAll(links.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = F.min(F.least("u", "v")).over(Window.partitionBy("u"))

@@ -19,16 +19,24 @@ def mapping(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def overlay(sessions: DataFrame, facts: DataFrame) -> DataFrame:
+SEATS = {"remaining": "remaining_capacity", "capacity": "capacity", "registrants": "registrant_count", "room": "room"}
+
+
+def overlay(sessions: DataFrame, facts: DataFrame, columns: tuple[str, ...] = ("title", "session_category", "start_time_text", "end_time_text", "date_text", *SEATS)) -> DataFrame:
     """Current sessions with the seats, registrations and room of their latest snapshot row, where there is one.
 
-    The right side wins in every column, blanks and nulls included; sessions without a row keep their own values.
+    The right side wins in every column, blanks and nulls included; sessions without a row keep their own values. Only
+    what ``columns`` asks for is read, on both sides.
     """
-    latest = last_rows(facts).groupBy("session_id").agg(F.max_by(F.struct("remaining_capacity", "capacity", "registrant_count", "room"), "order_index").alias("f"))
-    s = current_sessions(sessions)
+    own, seats = [c for c in columns if c not in SEATS], [c for c in columns if c in SEATS]
+    fields = [SEATS[c] for c in seats]
+    mine = lambda c: F.col(c) if c == "room" else number(F.col(c)).alias(c)
+    s = current_sessions(sessions.select("id", *own, *map(mine, fields)))
+    if not seats:
+        return s
+    latest = last_rows(facts, fields).groupBy("session_id").agg(F.max_by(F.struct(*fields), "order_index").alias("f"))
     joined = s.join(latest, s.id == latest.session_id, "left")
-    pick = lambda c: F.when(F.col("f").isNotNull(), F.col(f"f.{c}")).otherwise(number(F.col(c)))
-    return joined.select("id", "title", "session_category", "start_time_text", "end_time_text", "date_text", pick("remaining_capacity").alias("remaining"), pick("capacity").alias("capacity"), pick("registrant_count").alias("registrants"), F.when(F.col("f").isNotNull(), F.col("f.room")).otherwise(F.col("room")).alias("room"))
+    return joined.select("id", *own, *[F.when(F.col("f").isNotNull(), F.col(f"f.{SEATS[c]}")).otherwise(F.col(SEATS[c])).alias(c) for c in seats])
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -51,14 +59,14 @@ def category_fullness(seats: DataFrame) -> DataFrame:
 
 def label_counts(sessions: DataFrame) -> DataFrame:
     """How often each label of each facet occurs; blank labels and the audience General don't count."""
-    s = current_sessions(sessions)
-    facets = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f"llm.{f}").alias("label")) for f in ("ai_focus", "theme", "audience")])).alias("x")
+    s = current_sessions(sessions.select("id", "llm.ai_focus", "llm.theme", "llm.audience"))
+    facets = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("label")) for f in ("ai_focus", "theme", "audience")])).alias("x")
     return s.select(facets).select("x.*").filter("label <> '' and not (facet = 'audience' and label = 'General')").groupBy("facet", "label").agg(F.count("*").alias("n"))
 
 
 def flow_tree(sessions: DataFrame) -> DataFrame:
     """Sessions by focus, by theme within it and by audience within both; General audiences are left out at that level."""
-    s = current_sessions(sessions).select("llm.ai_focus", "llm.theme", "llm.audience").filter("ai_focus is not null")
+    s = current_sessions(sessions.filter("llm.ai_focus is not null").select("id", "llm.ai_focus", "llm.theme", "llm.audience"))
     rolled = s.groupingSets([["ai_focus"], ["ai_focus", "theme"], ["ai_focus", "theme", "audience"]], "ai_focus", "theme", "audience").agg(F.count("*").alias("n"), F.grouping_id("ai_focus", "theme", "audience").alias("g"))
     level = F.when(F.col("g") == 3, 1).when(F.col("g") == 1, 2).otherwise(3)
     return rolled.select("ai_focus", "theme", "audience", "n", level.alias("level")).filter("not (level = 3 and coalesce(audience, '') = 'General')")
@@ -70,9 +78,10 @@ def company_key(c: Column) -> Column:
     return F.regexp_replace(F.trim(plain), LEGAL_SUFFIX, "")
 
 
-def speakers_of(sessions: DataFrame) -> DataFrame:
-    s = current_sessions(sessions)
-    return s.select("id", "title", F.posexplode("speakers").alias("pos", "s")).select("id", "title", "pos", F.col("s.name").alias("name"), F.col("s.company").alias("company"), F.col("s.job_title").alias("job_title"))
+def speakers_of(sessions: DataFrame, *fields: str) -> DataFrame:
+    """``(id, pos, *fields)``: one row per speaker, with the named fields only."""
+    s = current_sessions(sessions.select("id", *[F.col(f"speakers.{f}").alias(f) for f in fields]))
+    return s.select("id", F.posexplode(F.arrays_zip(*fields)).alias("pos", "s")).select("id", "pos", "s.*")
 
 
 def company_counts(sessions: DataFrame, host: str = "orvanta", least: int = 2, limit: int = 120) -> DataFrame:
@@ -80,36 +89,37 @@ def company_counts(sessions: DataFrame, host: str = "orvanta", least: int = 2, l
 
     ``company`` is the smallest spelling met. Companies with fewer than ``least`` sessions don't rank.
     """
-    d = speakers_of(sessions).withColumn("key", company_key(F.col("company"))).filter("key <> ''").filter(~F.array_contains(F.split("key", " "), host))
+    d = speakers_of(sessions, "company").withColumn("key", company_key(F.col("company"))).filter("key <> ''").filter(~F.array_contains(F.split("key", " "), host))
     counted = d.groupBy("key").agg(F.count_distinct("id").alias("sessions"), F.min("company").alias("company")).filter(F.col("sessions") >= least)
     return counted.orderBy(F.col("sessions").desc(), "key").limit(limit)
 
 
 def company_sessions(sessions: DataFrame, least: int = 2) -> DataFrame:
     """Companies with the sorted ids of their sessions."""
-    d = speakers_of(sessions).withColumn("key", company_key(F.col("company"))).filter("key <> ''")
+    d = speakers_of(sessions, "company").withColumn("key", company_key(F.col("company"))).filter("key <> ''")
     return d.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") >= least).select("key", F.size("ids").cast("bigint").alias("sessions"), F.array_join("ids", ",").alias("ids"))
 
 
 def distinct_companies(sessions: DataFrame, host: str = "orvanta") -> DataFrame:
     """How many different companies speak, exactly, in all and without the host's."""
-    d = speakers_of(sessions).select(company_key(F.col("company")).alias("key")).filter("key <> ''")
+    d = speakers_of(sessions, "company").select(company_key(F.col("company")).alias("key")).filter("key <> ''")
     own = F.array_contains(F.split("key", " "), host)
     return d.agg(F.count_distinct("key").alias("companies"), F.count_distinct(F.when(~own, F.col("key"))).alias("other_companies"))
 
 
 def speaker_rollup(sessions: DataFrame, least: int = 2) -> DataFrame:
     """Speakers met more than once, every occurrence counted, with the first company met in the order of ids."""
-    d = speakers_of(sessions).withColumn("name", squeeze(F.col("name"))).filter("name <> ''")
+    d = speakers_of(sessions, "name", "company").withColumn("name", squeeze(F.col("name"))).filter("name <> ''")
     company = F.min_by("company", F.when(F.coalesce(F.trim("company"), F.lit("")) != "", F.struct("id", "pos")))
     return d.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions"), company.alias("company")).filter(F.col("n") >= least)
 
 
 def word_stats(sessions: DataFrame, limit: int = 96) -> DataFrame:
     """The commonest words of titles, descriptions, topics and companies, with how many sessions have them."""
-    s = current_sessions(sessions)
-    text = F.lower(F.concat_ws(" ", "title", "description", F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " "), F.array_join(F.transform(F.coalesce("speakers", F.expr("array()").cast(s.schema["speakers"].dataType)), lambda x: F.coalesce(x["company"], F.lit(""))), " ")))
-    found = s.select("id", F.explode(F.regexp_extract_all(text, F.lit("[a-z][a-z0-9+.-]*"), F.lit(0))).alias("raw"))
+    none = F.array().cast("array<string>")
+    text = F.lower(F.concat_ws(" ", "title", "description", F.array_join(F.coalesce("topics", none), " "), F.array_join(F.transform(F.coalesce("speakers.company", none), lambda x: F.coalesce(x, F.lit(""))), " ")))
+    s = current_sessions(sessions.select("id", text.alias("text")))
+    found = s.select("id", F.explode(F.regexp_extract_all("text", F.lit("[a-z][a-z0-9+.-]*"), F.lit(0))).alias("raw"))
     word = F.regexp_replace("raw", r"[^a-z0-9+#]+$", "")
     word = F.coalesce(F.try_element_at(mapping(PLURALS), word), word)
     kept = found.select("id", word.alias("word")).filter(((F.length("word") >= 3) | F.col("word").isin(SHORT_WORDS)) & ~F.col("word").isin(STOP_WORDS))
@@ -160,7 +170,7 @@ def time_bounds(seats: DataFrame) -> DataFrame:
 
 def facet_values(sessions: DataFrame) -> DataFrame:
     """The distinct values of each facet with their sessions: days, categories, rooms and topics."""
-    s = current_sessions(sessions)
+    s = current_sessions(sessions.select("id", "date_text", "session_category", "room", "topics"))
     facets = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in ("date_text", "session_category", "room")])
     topics = F.transform(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))), lambda t: F.struct(F.lit("topic").alias("facet"), t.alias("value")))
     return s.select("id", F.explode(F.concat(facets, topics)).alias("x")).select("id", "x.*").filter("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
@@ -181,7 +191,7 @@ def day_key(date_text: Column) -> Column:
 
 
 def day_buckets(sessions: DataFrame) -> DataFrame:
-    s = current_sessions(sessions).withColumn("bucket", day_key(F.col("date_text")))
+    s = current_sessions(sessions.select("id", "room", day_key(F.col("date_text")).alias("bucket")))
     return s.groupBy("bucket").agg(F.count("*").alias("sessions"), F.count_distinct("room").alias("rooms"), F.min("id").alias("first_id"))
 
 

@@ -53,13 +53,12 @@ def audience(topics: Column) -> Column:
     return F.when((F.size(tags) >= 5) & (F.size(kinds) >= 3), "General").otherwise(F.coalesce(best, F.lit("General")))
 
 
-def classified(sessions: DataFrame) -> DataFrame:
-    """Every current session with the labels of the rules and why."""
-    s = current_sessions(sessions)
+def classified(sessions: DataFrame, *more: str) -> DataFrame:
+    """Every current session with the labels of the rules and why, and further columns asked for."""
     text = F.concat_ws(" ", "title", "description")
     ai, sure = has_part(text, AI_PARTS), has_word(text, AI_WORDS)
     theme = ladder(text, THEMES, "Business")
-    out = s.select("id", F.when(ai, "AI").otherwise("Not AI").alias("ai_focus"), sure.alias("sure"), theme.alias("theme"), audience(F.col("topics")).alias("audience"))
+    out = current_sessions(sessions.select("id", *more, F.when(ai, "AI").otherwise("Not AI").alias("ai_focus"), sure.alias("sure"), theme.alias("theme"), audience(F.col("topics")).alias("audience")))
     return out.withColumn("reasoning", F.concat_ws("; ", F.concat(F.lit("theme "), "theme"), F.when(F.col("sure"), "named as such")))
 
 
@@ -74,17 +73,16 @@ def carried_over(sessions: DataFrame, prior: DataFrame) -> DataFrame:
 
     prior: ``(url, labels)``; of several rows with a url the greatest labels count; urls that are gone are dropped.
     """
-    s = current_sessions(sessions)
     known = prior.filter("url <> ''").groupBy("url").agg(F.max("labels.theme").alias("old_theme"), F.max("labels.ai_focus").alias("old_focus"))
-    rules = classified(sessions).withColumnRenamed("ai_focus", "new_focus").withColumnRenamed("theme", "new_theme")
-    d = s.select("id", "url").join(known, "url", "left").join(rules.select("id", "new_focus", "new_theme", "sure"), "id")
+    rules = classified(sessions, "url").withColumnRenamed("ai_focus", "new_focus").withColumnRenamed("theme", "new_theme")
+    d = rules.join(known, "url", "left")
     redo = F.col("old_focus").isNull() | (F.col("old_focus") == "") | ((F.col("old_focus") == "Not AI") & F.col("sure"))
     return d.select("id", F.when(redo, F.col("new_focus")).otherwise(F.col("old_focus")).alias("ai_focus"), F.when(redo, F.col("new_theme")).otherwise(F.col("old_theme")).alias("theme"), redo.alias("redone"))
 
 
 def pending(sessions: DataFrame, prior: DataFrame) -> DataFrame:
     """Sessions whose url has no labels yet."""
-    s = current_sessions(sessions).select("id", "url")
+    s = current_sessions(sessions.select("id", "url"))
     return s.join(prior.filter("labels is not null and labels.theme <> ''").select("url"), "url", "left_anti")
 
 

@@ -110,9 +110,12 @@ def conditions(f: Filters) -> list[Column]:
     return out
 
 
-def search(sessions: DataFrame, f: Filters) -> DataFrame:
-    """Current sessions that meet all active conditions; a null is a miss."""
-    return functools.reduce(lambda df, c: df.filter(c), conditions(f), current_sessions(sessions))
+def search(sessions: DataFrame, f: Filters, columns: tuple[str, ...] = ("title", "start_at", "date_text")) -> DataFrame:
+    """Current sessions that meet all active conditions, with their id and the columns asked for; a null is a miss.
+
+    Conditions go before the repeated rows of an id are taken together, so they reach the scan.
+    """
+    return current_sessions(functools.reduce(lambda df, c: df.filter(c), conditions(f), sessions).select("id", *columns))
 
 
 def ordered(found: DataFrame, featured: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -157,7 +157,7 @@ def related(table: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
     Candidates have the query's focus or a common title word; up to a cosine of 0.45 they need the word.
     """
     rows = written(valid_vectors(table))
-    s = current_sessions(sessions).filter("url <> ''").groupBy("url").agg(F.max(F.struct("id", "topics", "session_category")).alias("s"))
+    s = current_sessions(sessions.filter("url <> ''").select("id", "url", "topics", "session_category")).groupBy("url").agg(F.max(F.struct("id", "topics", "session_category")).alias("s"))
     tokens = F.filter(token_set(F.col("title")), lambda t: (F.length(t) > 2) & ~t.isin(TITLE_STOP))
     topics = F.array_distinct(F.transform(F.filter(F.coalesce("s.topics", F.array().cast("array<string>")), lambda x: x.isNotNull()), F.lower))
     title = F.coalesce(F.concat(F.lit("="), F.lower(F.trim("title"))), F.lit(""))  # apart from a missing one

@@ -59,7 +59,7 @@ def _shards(spark, d):
 def _stream(spark, d):
     static = table(spark, d, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be one file or a folder
-    return bursts.run_available(bursts.burst_windows(stream)).select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
+    return bursts.finished_bursts(stream).select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
 QUERIES = {

@@ -12,16 +12,17 @@ from almanac.sources import records
 
 
 def _names(spark, d):
-    s = current_sessions(table(spark, d, "classified_sessions"))
-    refs = F.transform("speakers", lambda x: F.nullif(F.regexp_extract(x["moreInfoUrl"], r"/speaker/(\d+)", 1), F.lit("")))
-    people = s.select(F.explode("speakers").alias("x")).select(F.nullif(F.regexp_extract("x.moreInfoUrl", r"/speaker/(\d+)", 1), F.lit("")).alias("ref"), F.col("x.name").alias("name"))
-    return records.looked_up(s.select("id", refs.alias("refs")), people).select("id", F.array_join("names", "; ").alias("names"))
+    refs = F.transform("speakers.moreInfoUrl", lambda x: F.nullif(F.regexp_extract(x, r"/speaker/(\d+)", 1), F.lit("")))
+    s = current_sessions(table(spark, d, "classified_sessions").select("id", refs.alias("refs"), F.col("speakers.name").alias("names")))
+    people = s.select(F.explode(F.arrays_zip("refs", "names")).alias("x")).select(F.col("x.refs").alias("ref"), F.col("x.names").alias("name"))
+    return records.looked_up(s.select("id", "refs"), people).select("id", F.array_join("names", "; ").alias("names"))
 
 
 def _artifact(spark, d):
     from almanac.sources.sinks import availability_artifact
 
-    return availability_artifact(current_sessions(table(spark, d, "classified_sessions")))
+    fields = ["id", "url", "remaining_capacity", "capacity", "registrant_count", "session_category", "room"]
+    return availability_artifact(current_sessions(table(spark, d, "classified_sessions").select(*fields)))
 
 
 QUERIES = {

@@ -11,16 +11,20 @@ def _s(spark, d):
     return table(spark, d, "classified_sessions")
 
 
-def _seats(spark, d):
-    return r.overlay(_s(spark, d), table(spark, d, "snapshot_sessions"))
+def _seats(spark, d, *columns):
+    return r.overlay(_s(spark, d), table(spark, d, "snapshot_sessions"), *([columns] if columns else []))
+
+
+_BANDS = ("session_category", "remaining")
+_TAKEN = ("date_text", "start_time_text", "end_time_text", "registrants")
 
 
 HOSTS = ["zostalufasa motors", "ruzetririli systems", "fekrazetruge logistics", "danotastaho insurance", "mevorefede insurance", "vivuhipukro motors"]
 
 QUERIES = {
     "availability_overlay": _seats,
-    "availability_counts": lambda spark, d: r.availability_counts(_seats(spark, d)),
-    "category_fullness": lambda spark, d: r.category_fullness(_seats(spark, d)),
+    "availability_counts": lambda spark, d: r.availability_counts(_seats(spark, d, *_BANDS)),
+    "category_fullness": lambda spark, d: r.category_fullness(_seats(spark, d, *_BANDS)),
     "label_counts": lambda spark, d: r.label_counts(_s(spark, d)),
     "flow_tree": lambda spark, d: r.flow_tree(_s(spark, d)),
     "company_counts": lambda spark, d: r.company_counts(_s(spark, d)),
@@ -28,15 +32,15 @@ QUERIES = {
     "distinct_companies": lambda spark, d: r.distinct_companies(_s(spark, d)),
     "speaker_rollup": lambda spark, d: r.speaker_rollup(_s(spark, d)),
     "word_stats": lambda spark, d: r.word_stats(_s(spark, d)),
-    "hour_buckets": lambda spark, d: r.hour_buckets(_seats(spark, d)),
-    "heat_rows": lambda spark, d: r.heat_rows(_seats(spark, d)),
-    "fill_scale": lambda spark, d: r.fill_scale(_seats(spark, d)),
-    "time_bounds": lambda spark, d: r.time_bounds(_seats(spark, d)),
+    "hour_buckets": lambda spark, d: r.hour_buckets(_seats(spark, d, *_TAKEN)),
+    "heat_rows": lambda spark, d: r.heat_rows(_seats(spark, d, *_TAKEN)),
+    "fill_scale": lambda spark, d: r.fill_scale(_seats(spark, d, "remaining", "capacity", "registrants")),
+    "time_bounds": lambda spark, d: r.time_bounds(_seats(spark, d, "start_time_text", "end_time_text")),
     "facet_values": lambda spark, d: r.facet_values(_s(spark, d)),
     "group_total": lambda spark, d: r.group_total(r.company_counts(_s(spark, d)), HOSTS),
     "day_buckets": lambda spark, d: r.day_buckets(_s(spark, d)),
     "affiliation_counts": lambda spark, d: r.affiliation_counts(table(spark, d, "sessions_25_speakers")),
-    "insights": lambda spark, d: r.insights(_s(spark, d), _seats(spark, d)),
+    "insights": lambda spark, d: r.insights(_s(spark, d), _seats(spark, d, *_BANDS)),
 }
 
 S = "s AS (SELECT DISTINCT * FROM classified_sessions WHERE id IS NOT NULL)"

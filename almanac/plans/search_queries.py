@@ -18,24 +18,20 @@ def _d(spark, d):
     return table(spark, d, "documents")
 
 
-def _ids(df):
-    return df.select("id", "title")
-
-
 EXPLORER = q.Filters(start_from="10:00", start_to="16:30", ai_focus="AI", availability="not-full", sponsored="no", topic="AI")
 COMPANY = q.Filters(company="Mevorefede & Co", person="a")
 DNF = 'title:production, "one backlog at a time", description:cost requests'
 PARTY = {"lang": "en", "source": "party_invite"}
 
 QUERIES = {
-    "explorer_filter": lambda spark, d: _ids(q.search(_s(spark, d), EXPLORER)),
-    "explorer_company": lambda spark, d: _ids(q.search(_s(spark, d), q.Filters(company="mevorefede"))),
-    "explorer_person": lambda spark, d: _ids(q.search(_s(spark, d), q.Filters(person="katherine"))),
+    "explorer_filter": lambda spark, d: q.search(_s(spark, d), EXPLORER, ("title",)),
+    "explorer_company": lambda spark, d: q.search(_s(spark, d), q.Filters(company="mevorefede"), ("title",)),
+    "explorer_person": lambda spark, d: q.search(_s(spark, d), q.Filters(person="katherine"), ("title",)),
     "explorer_ordered": lambda spark, d: q.ordered(q.search(_s(spark, d), q.Filters(theme="Security")), ["1000042"], 25).select("id", "title", "start_at"),
-    "text_search_and": lambda spark, d: _ids(q.search(_s(spark, d), q.Filters(query="agent workflows"))),
-    "text_search_not": lambda spark, d: _ids(q.search(_s(spark, d), q.Filters(query="pipelines", exclude="streaming robotics"))),
-    "text_search_phrase": lambda spark, d: _ids(q.search(_s(spark, d), q.Filters(query='"at a time" talk'))),
-    "text_search_dnf": lambda spark, d: t.current_sessions(_s(spark, d)).select("id", q.group_of(DNF).alias("matched")).filter("matched is not null"),
+    "text_search_and": lambda spark, d: q.search(_s(spark, d), q.Filters(query="agent workflows"), ("title",)),
+    "text_search_not": lambda spark, d: q.search(_s(spark, d), q.Filters(query="pipelines", exclude="streaming robotics"), ("title",)),
+    "text_search_phrase": lambda spark, d: q.search(_s(spark, d), q.Filters(query='"at a time" talk'), ("title",)),
+    "text_search_dnf": lambda spark, d: t.current_sessions(_s(spark, d).select("id", q.group_of(DNF).alias("matched")).filter("matched is not null")),
     "facet_filter": lambda spark, d: q.facets(_d(spark, d), **PARTY).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")),
     "fingerprints": lambda spark, d: t.fingerprints(_s(spark, d)),
     "session_keys": lambda spark, d: t.keys(_s(spark, d)),

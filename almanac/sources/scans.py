@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.html import json_slices
 from almanac.operators.catalog import last_by, number
+from almanac.session import materialize, small
 
 SPEAKER = "struct<name: string, company: string, job_title: string, moreInfoUrl: string>"
 LABELS = "struct<ai_focus: string, theme: string, audience: string, reasoning: string>"
@@ -26,9 +27,11 @@ def snapshot_payloads(spark: SparkSession, path: str) -> DataFrame:
     bare = F.startswith(F.ltrim("value"), F.lit("["))
     wrapped = F.when(bare, F.concat(F.lit('{"sessions":'), "value", F.lit("}"))).otherwise(F.col("value"))
     p = files.select("file_name", F.from_json(wrapped, PAYLOAD).alias("p"))
-    order = F.row_number().over(Window.orderBy("file_name")) - 1  # one row per file
+    # The window without keys runs over the names of the files only; their contents stay where they were read.
+    names = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name")).filter(F.endswith("file_name", F.lit(".json")))
+    order = small(materialize(names.select("file_name", (F.row_number().over(Window.orderBy("file_name")) - 1).alias("order_index"))))
     stem = F.regexp_replace("file_name", r"\.json$", "")
-    return p.select("file_name", order.alias("order_index"), F.coalesce("p.scraped_at", "p.scrapedAt", stem).alias("captured"), F.coalesce("p.sessions", F.array().cast(f"array<struct<{SESSION}>>")).alias("sessions"))
+    return p.join(order, "file_name").select("file_name", "order_index", F.coalesce("p.scraped_at", "p.scrapedAt", stem).alias("captured"), F.coalesce("p.sessions", F.array().cast(f"array<struct<{SESSION}>>")).alias("sessions"))
 
 
 def snapshot_rows(payloads: DataFrame) -> DataFrame:
