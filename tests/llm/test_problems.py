@@ -95,8 +95,20 @@ def test_oversized_partitions_are_split(spark):
     got = {r["term"]: (r["tf"], r["df"]) for r in term_frequency.term_frequency(words, limit=20).collect()}
     assert len(got) == 1501 and got["everywhere"] == (4000, 4000) and sum(v[0] for v in got.values()) == 8000
     hashed = spark.range(1000).select(F.xxhash64("id").alias("hash")).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("hash")))
-    leaves = term_frequency.radix_leaves(hashed, 100)
-    assert len({b for b, _ in leaves}) > 1 and (term_frequency.MAX_BITS, 0) in leaves
+    leaves = term_frequency.radix_leaves(hashed, 100).collect()
+    assert len({r["bits"] for r in leaves}) > 1 and (term_frequency.MAX_BITS, 0, 500) in {tuple(r) for r in leaves}
+    assert all(r["n"] <= 100 for r in leaves if r["bits"] < term_frequency.MAX_BITS) and sum(r["n"] for r in leaves) == 1500
+
+
+def test_duckdb_gets_one_leaf_at_a_time(spark):
+    words = spark.range(6000).repartition(12).select(F.array(F.concat(F.lit("w"), (F.col("id") % 900).cast("string")), F.lit("everywhere")).alias("words"))
+    rows = term_frequency.summed_leaves(words, limit=50).collect()
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(r["leaf"], []).append(r)
+    assert sorted(leaves) == list(range(len(leaves))) and len(leaves) > 100
+    assert all(sum(r["n"] for r in rs) <= 50 or len(rs) == 1 for rs in leaves.values())
+    assert len(rows) == 901 and sum(r["n"] for r in rows) > 901
 
 
 # Sets -----------------------------------------------------------------------------------------------------------------
