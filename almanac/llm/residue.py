@@ -9,6 +9,7 @@ What is written in quotes or code marks is only mentioned, so it counts as one m
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,56 +58,63 @@ PLACEHOLDERS = (
 )
 #: What a passage must have for any of the placeholders to be in it.
 MAYBE = r"[{$<*\[@%#«]|__|[Xx]{3}|(?i:nan)|undefined|null|None|[Dd]ate\b|0000"
-#: Wordings of filler, error pages and script notices that are sure where they stand unquoted.
-TRUSTED = (
-    r"(?i)\blorem ipsum\b",
-    r"(?i)^\W*(?:todo|tbd|fixme)\b\s*:?",
-    r"(?i)\b(sample|placeholder|dummy) text \1 text\b",
-    r"(?i)^\W*(?:http |error |status )*(?:code )?[45]\d\d\b\s*[-:.|]*\s*(?:error|not found|forbidden|bad|internal|service|gateway|unauthori|too many|access|page)",
-    r"(?i)^\W*(?:fatal )?error\s*:",
-    r"(?i)^\W*(?:oops|sorry about that|we(?:'|’)?re sorry|we are sorry|apologies|access denied|page not found|not found|forbidden|internal server error|bad gateway|service unavailable|something went wrong|session expired|request timed out)\b",
-    r"(?i)^\W*(?:\w+ ){0,6}?(?:please |must |need to )(?:enable|activate|allow|unblock|turn on|switch on) (?:java ?script|js|scripts?|scripting|cookies)\b",
-    r"(?i)^\W*(?:please )?(?:enable|activate|allow|unblock|turn on|switch on) (?:java ?script|js|scripts?|scripting)\b",
-    r"(?i)\bjava ?script (?:is|must be|needs to be|has to be) (?:disabled|required|enabled|turned|switched|activated)\b",
-    r"(?i)^\W*(?:this|the|our) (?:\w+ ){1,3}?(?:requires?|needs?) (?:java ?script|js|scripts?|scripting)\b",
-    r"(?i)^\W*noscript\b",
-    r"(?i)\bscripts? (?:is|are) (?:blocked|disabled|turned off|switched off)\b",
-    r"(?i)^\W*(?:por favor,? |bitte |veuillez |s'il vous plaît )?(?:active|activez|activer|activar|ative|ativar|habilite|habilitez|habilitar|aktivieren|aktiviere)\b.{0,25}\bjava ?script\b",
-    r"(?i)\bjava ?script\b.{0,20}\b(?:aktivieren|aktiviert|activado|activé|ativado|einschalten|necesario|nécessaire|necessário|erforderlich)\b",
-    r"(?i)JavaScript.{0,6}(?:有効|オン|必要)",
-    r"(?i)^\W*(?:página no encontrada|página não encontrada|seite nicht gefunden|page introuvable|page non trouvée|cette page est introuvable|(?:この)?ページが見つかりません|ページは存在しません)",
-    r"(?i)^\W*(?:error|erreur|fehler|erro|エラー)\s*[45]\d\d\b",
-    r"(?i)^\W*(?:texto de ejemplo|texto de exemplo|texte d'exemple|beispieltext|blindtext|mustertext|サンプルテキスト|ダミーテキスト)",
-    r"^\W*Traceback \(most recent call last\)",
-    r"^\W*[A-Za-z_.]*[a-z](?:Error|Exception)\b(?:\s*:|\s+at\b|$)",
-    r"\bat\s+[\w.$]+\(\w+\.(?:java|js|py|kt|cs)(?::\d+)+\)",
-    r"(?i)^\W*(?:php )?(?:warning|notice|fatal error|parse error)\s*:.* on line \d+",
-    r"(?i)^\W*File mentioned ?, line \d+",
-    r"(?i)\b(?:service|site|page|server) (?:is )?(?:temporarily|currently) (?:unavailable|offline|down)\b",
-    r"(?i)^\W*(?:too many requests|rate limit exceeded|bad request|unauthori[sz]ed|gateway time-?out)\b",
-    r"(?i)^\W*(?:your|this|the) (?:session|login|token|link) (?:has )?(?:expired|timed out)\b",
-    r"(?i)^\W*(?:scheduled )?(?:maintenance (?:is )?in progress|down for maintenance)\b",
-    r"(?i)^\W*(?:checking|verifying) your (?:connection|browser|identity)\b",
-    r"(?i)^\W*(?:secure connection failed|connection (?:refused|reset|timed out)|unknown session code|no results(?: found)?\.)",
-    r"(?i)^\W*(?:we (?:can(?:'|’)?t|cannot|could not|couldn(?:'|’)?t) find|the (?:requested )?(?:page|session|url|resource) (?:you (?:are|were) looking for|you requested|was not found))",
-    r"(?i)^\W*(?:type|enter|insert|add|write|paste|put) (?:your|the|a|some) (?:\w+ ){1,3}(?:here|in this box|in this field|below)\b",
-    r"(?:^|\W)phrepeat\b",
-    r"(?i)^\W*(?:to (?:view|see|use|open|load|continue)|for the full|for full|in order to|before|if nothing|the (?:\w+ ){1,3}(?:stays?|remains?|is) (?:blank|empty|hidden))\b.*\b(?:enable|activate|allow|unblock|turn on|switch on) (?:\w+ ){0,2}(?:java ?script|js|scripts?|scripting|cookies)\b",
-    r"(?i)\b(?:cookies|java ?script|scripts?) (?:and (?:cookies|java ?script|scripts?) )?(?:must|need to|have to|has to|should) be (?:turned|switched|enabled|allowed|activated)\b",
-    r"(?i)^\W*error (?:establishing|loading|connecting|while|occurred|in)\b",
-    r"(?i)\b(?:did not|didn(?:'|’)t|could not|failed to) (?:answer|respond|load)\b(?: in time| \(code)?",
-    r"(?i)^\W*(?:loading|please wait)\W*$",
-    r"(?i)^\W*if (?:nothing|no content|the page does not) (?:appears?|loads?|happens?)\b",
-    r"(?i)^\W*(?:insert|add|put) (?:\w+ ){1,4}here\b",
-    r"(?i)^\W*(?:\w+ ){1,3}goes here\b",
-    r"(?i)\bblindtext\b|\b(?:dummy|placeholder) (?:text|copy|description|content|title)\b|\bfor layout purposes\b",
-    r"(?i)^\W*(?:replace|change|edit) this (?:text|copy|title|description|paragraph)\b",
-    r"(?i)\b(?:text|title|copy|details|abstract|description|room|speaker|time) (?:is |are )?(?:tbd|tba|tbc)\b|\bdo not (?:ship|publish)\b",
-    r"(?i)\bfoo bar\b|\basdf\b|\bqwer(?:ty|tz)?\b",
-    r"^\W*(\w)\1{9,}\W*$",
-    r"を入力してください",
-    r"(?i)\byour browser (?:is|does) (?:not supported|not support|out of date|too old|outdated)\b",
+#: Wordings of filler, error pages and script notices that are sure where they stand unquoted; those that begin a passage,
+#: the ones whose case counts apart, and those that may stand anywhere, each with parts of which a passage must have one in lower case.
+STARTS = (
+    r"(?:todo|tbd|fixme)\b\s*:?",
+    r"(?:http |error |status )*(?:code )?[45]\d\d\b\s*[-:.|]*\s*(?:error|not found|forbidden|bad|internal|service|gateway|unauthori|too many|access|page)",
+    r"(?:fatal )?error\s*:",
+    r"(?:oops|sorry about that|we(?:'|’)?re sorry|we are sorry|apologies|access denied|page not found|not found|forbidden|internal server error|bad gateway|service unavailable|something went wrong|session expired|request timed out)\b",
+    r"(?:\w+ ){0,6}?(?:please |must |need to )(?:enable|activate|allow|unblock|turn on|switch on) (?:java ?script|js|scripts?|scripting|cookies)\b",
+    r"(?:please )?(?:enable|activate|allow|unblock|turn on|switch on) (?:java ?script|js|scripts?|scripting)\b",
+    r"(?:this|the|our) (?:\w+ ){1,3}?(?:requires?|needs?) (?:java ?script|js|scripts?|scripting)\b",
+    r"noscript\b",
+    r"(?:por favor,? |bitte |veuillez |s'il vous plaît )?(?:active|activez|activer|activar|ative|ativar|habilite|habilitez|habilitar|aktivieren|aktiviere)\b.{0,25}\bjava ?script\b",
+    r"(?:página no encontrada|página não encontrada|seite nicht gefunden|page introuvable|page non trouvée|cette page est introuvable|(?:この)?ページが見つかりません|ページは存在しません)",
+    r"(?:error|erreur|fehler|erro|エラー)\s*[45]\d\d\b",
+    r"(?:texto de ejemplo|texto de exemplo|texte d'exemple|beispieltext|blindtext|mustertext|サンプルテキスト|ダミーテキスト)",
+    r"(?:php )?(?:warning|notice|fatal error|parse error)\s*:.* on line \d+",
+    r"File mentioned ?, line \d+",
+    r"(?:too many requests|rate limit exceeded|bad request|unauthori[sz]ed|gateway time-?out)\b",
+    r"(?:your|this|the) (?:session|login|token|link) (?:has )?(?:expired|timed out)\b",
+    r"(?:scheduled )?(?:maintenance (?:is )?in progress|down for maintenance)\b",
+    r"(?:checking|verifying) your (?:connection|browser|identity)\b",
+    r"(?:secure connection failed|connection (?:refused|reset|timed out)|unknown session code|no results(?: found)?\.)",
+    r"(?:we (?:can(?:'|’)?t|cannot|could not|couldn(?:'|’)?t) find|the (?:requested )?(?:page|session|url|resource) (?:you (?:are|were) looking for|you requested|was not found))",
+    r"(?:type|enter|insert|add|write|paste|put) (?:your|the|a|some) (?:\w+ ){1,3}(?:here|in this box|in this field|below)\b",
+    r"(?:to (?:view|see|use|open|load|continue)|for the full|for full|in order to|before|if nothing|the (?:\w+ ){1,3}(?:stays?|remains?|is) (?:blank|empty|hidden))\b.*\b(?:enable|activate|allow|unblock|turn on|switch on) (?:\w+ ){0,2}(?:java ?script|js|scripts?|scripting|cookies)\b",
+    r"error (?:establishing|loading|connecting|while|occurred|in)\b",
+    r"(?:loading|please wait)\W*$",
+    r"if (?:nothing|no content|the page does not) (?:appears?|loads?|happens?)\b",
+    r"(?:insert|add|put) (?:\w+ ){1,4}here\b",
+    r"(?:\w+ ){1,3}goes here\b",
+    r"(?:replace|change|edit) this (?:text|copy|title|description|paragraph)\b",
 )
+EXACT_STARTS = (
+    r"Traceback \(most recent call last\)",
+    r"[A-Za-z_.]*[a-z](?:Error|Exception)\b(?:\s*:|\s+at\b|$)",
+)
+ANYWHERE = (
+    (("lorem",), r"(?i)\blorem ipsum\b"),
+    ((" text",), r"(?i)\b(sample|placeholder|dummy) text \1 text\b"),
+    (("script",), r"(?i)\bjava ?script (?:is|must be|needs to be|has to be) (?:disabled|required|enabled|turned|switched|activated)\b"),
+    (("script",), r"(?i)\bscripts? (?:is|are) (?:blocked|disabled|turned off|switched off)\b"),
+    (("script",), r"(?i)\bjava ?script\b.{0,20}\b(?:aktivieren|aktiviert|activado|activé|ativado|einschalten|necesario|nécessaire|necessário|erforderlich)\b"),
+    (("script",), r"(?i)JavaScript.{0,6}(?:有効|オン|必要)"),
+    (("(",), r"\bat\s+[\w.$]+\(\w+\.(?:java|js|py|kt|cs)(?::\d+)+\)"),
+    (("unavailable", "offline", "down"), r"(?i)\b(?:service|site|page|server) (?:is )?(?:temporarily|currently) (?:unavailable|offline|down)\b"),
+    (("phrepeat",), r"(?:^|\W)phrepeat\b"),
+    (("cookies", "script"), r"(?i)\b(?:cookies|java ?script|scripts?) (?:and (?:cookies|java ?script|scripts?) )?(?:must|need to|have to|has to|should) be (?:turned|switched|enabled|allowed|activated)\b"),
+    (('answer', 'respond', 'load'), r"(?i)\b(?:did not|didn(?:'|’)t|could not|failed to) (?:answer|respond|load)\b(?: in time| \(code)?"),
+    (("blindtext", "dummy", "placeholder", "layout purposes"), r"(?i)\bblindtext\b|\b(?:dummy|placeholder) (?:text|copy|description|content|title)\b|\bfor layout purposes\b"),
+    (("tbd", "tba", "tbc", "ship", "publish"), r"(?i)\b(?:text|title|copy|details|abstract|description|room|speaker|time) (?:is |are )?(?:tbd|tba|tbc)\b|\bdo not (?:ship|publish)\b"),
+    (("foo bar", "asdf", "qwer"), r"(?i)\bfoo bar\b|\basdf\b|\bqwer(?:ty|tz)?\b"),
+    (("",), r"^\W*(\w)\1{9,}\W*$"),
+    (("を入力",), r"を入力してください"),
+    (("browser",), r"(?i)\byour browser (?:is|does) (?:not supported|not support|out of date|too old|outdated)\b"),
+)
+#: Words that tell of such wordings instead of using them.
+DISCUSSED = r"(?i)\b(?:explain(?:s|ed|ing)?|discuss(?:es|ed|ing)?|describe[sd]?|teach(?:es|ing)?|argue[sd]?|why|history of|(?:talk|session|workshop|lecture|essay|article|lesson)s? (?:on|about))\b"
 
 
 def passages(text: Column) -> Column:
@@ -114,7 +122,7 @@ def passages(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|br|div|em|strong|b|i|span|h[1-6]|li|ul|a|html|body|title|center|hr|noscript)(?:\s[^<>]*)?/?>", " "), r"(?i)&nbsp;|&#160;|&#9;|[\x{A0}\t]", " ")
     plain = F.regexp_replace(plain, r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
     # A bounded number of repeats at a time: the matcher's stack grows with each.
-    plain = F.regexp_replace(plain, r"(?i)\b(\p{L}{4,})\b(?:[.,]?\s+\1\b){2,40}[.,]?", " phrepeat ")
+    plain = F.regexp_replace(plain, r"(?i)\b(\p{L}{4,}+)\b(?:[.,]?\s+\1\b){2,40}[.,]?", " phrepeat ")
     return F.filter(F.transform(F.split(plain, r"[\r\n\x{2028}]+|(?<=[.!?])\s+(?![a-z])|(?<=。)"), squeeze), lambda p: p != "")
 
 
@@ -130,11 +138,17 @@ def marked(passage: Column) -> Column:
 
 
 def trusted(mark: Column) -> Column:
-    """Whether a marked passage has a placeholder or a sure wording."""
-    out = F.regexp_like(mark, F.lit(r"(?:^| )(?:" + "|".join(["pherror", *[m for m, _ in PLACEHOLDERS]]) + r") "))
-    for pattern in TRUSTED:
-        out = out | F.regexp_like(mark, F.lit(pattern))
-    return out
+    """Whether a marked passage has a placeholder, or a sure wording without words that discuss it.
+
+    Wordings that begin a passage are tried as one pattern; the others only on passages that have a part of them.
+    """
+    holds = F.contains(mark, F.lit(" ph")) & F.regexp_like(mark, F.lit(r"(?:^| )(?:" + "|".join(["pherror", *[m for m, _ in PLACEHOLDERS]]) + r") "))
+    low = F.lower(mark)
+    out = F.regexp_like(mark, F.lit(r"(?i)^\W*(?:" + "|".join(STARTS) + ")")) | F.regexp_like(mark, F.lit(r"^\W*(?:" + "|".join(EXACT_STARTS) + ")"))
+    for parts, pattern in ANYWHERE:
+        some = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in parts])
+        out = out | (some & F.regexp_like(mark, F.lit(pattern)))
+    return holds | (out & ~F.regexp_like(mark, F.lit(DISCUSSED)))
 
 
 def features(mark: Column) -> Column:
