@@ -129,21 +129,21 @@ def passages(text: Column) -> Column:
 def marked(passage: Column) -> Column:
     """A passage in which mentions and placeholders are replaced by marks."""
     # A bare error object is no mention, though its names stand in quotes.
-    out = F.regexp_replace(passage, r"(?i)^\W*\{\s*\"(?:error|errors|fault|exception)\"\s*:.*\}\s*$", " pherror ")
-    out = F.regexp_replace(out, r"`[^`]*`|[\"“”„][^\"“”„]*[\"“”„]|«\s[^»]*»", " mentioned ")
+    has = lambda parts: functools.reduce(lambda a, b: a | b, [F.contains(passage, F.lit(x)) for x in parts])
+    out = F.when(has("{"), F.regexp_replace(passage, r"(?i)^\W*\{\s*\"(?:error|errors|fault|exception)\"\s*:.*\}\s*$", " pherror ")).otherwise(passage)
+    out = F.when(has("`\"“”„«"), F.regexp_replace(out, r"`[^`]*`|[\"“”„][^\"“”„]*[\"“”„]|«\s[^»]*»", " mentioned ")).otherwise(out)
     replaced = out
     for mark, pattern in PLACEHOLDERS:
         replaced = F.regexp_replace(replaced, pattern, f" {mark} ")
     return F.when(F.regexp_like(out, F.lit(MAYBE)), replaced).otherwise(out)
 
 
-def trusted(mark: Column) -> Column:
-    """Whether a marked passage has a placeholder, or a sure wording without words that discuss it.
+def trusted(mark: Column, low: Column) -> Column:
+    """Whether a marked passage has a placeholder, or a sure wording without words that discuss it; ``low`` is it in lower case.
 
     Wordings that begin a passage are tried as one pattern; the others only on passages that have a part of them.
     """
     holds = F.contains(mark, F.lit(" ph")) & F.regexp_like(mark, F.lit(r"(?:^| )(?:" + "|".join(["pherror", *[m for m, _ in PLACEHOLDERS]]) + r") "))
-    low = F.lower(mark)
     out = F.regexp_like(mark, F.lit(r"(?i)^\W*(?:" + "|".join(STARTS) + ")")) | F.regexp_like(mark, F.lit(r"^\W*(?:" + "|".join(EXACT_STARTS) + ")"))
     for parts, pattern in ANYWHERE:
         some = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in parts])
@@ -151,9 +151,9 @@ def trusted(mark: Column) -> Column:
     return holds | (out & ~F.regexp_like(mark, F.lit(DISCUSSED)))
 
 
-def features(mark: Column) -> Column:
-    """Hash buckets of a passage's distinct words and neighbouring words; numbers are alike, other scripts go by character."""
-    words = F.regexp_extract_all(F.regexp_replace(F.lower(mark), r"\p{N}+", "0"), F.lit(r"[\p{IsLatin}'’]+|\p{N}|\p{L}|[:|?!]"), F.lit(0))
+def features(low: Column) -> Column:
+    """Hash buckets of the distinct words and neighbouring words of a passage in lower case; numbers are alike, other scripts go by character."""
+    words = F.regexp_extract_all(F.regexp_replace(low, r"\p{N}+", "0"), F.lit(r"[a-zß-öø-\x{24F}\x{1E00}-\x{1EFF}'’]+|\p{N}|\p{L}|[:|?!]"), F.lit(0))
     padded = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
     pairs = F.zip_with(padded, F.slice(padded, F.lit(2), F.size(padded)), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.transform(F.concat(words, pairs), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
@@ -224,8 +224,8 @@ def residue_passages(docs: DataFrame) -> DataFrame:
     ``score`` is the log odds for residue; repeated rows give repeated passages; other columns are ignored. The
     features of all passages are written once to the shared folder, for the fit and the scores alike.
     """
-    cut = docs.select("doc_id", F.posexplode(passages(F.col("text"))).alias("place", "passage")).withColumn("mark", marked(F.col("passage")))
-    found = written(cut.select("doc_id", "place", features(F.col("mark")).alias("features"), trusted(F.col("mark")).alias("sure")))
+    cut = docs.select("doc_id", F.posexplode(passages(F.col("text"))).alias("place", "passage")).withColumn("mark", marked(F.col("passage"))).withColumn("low", F.lower("mark"))
+    found = written(cut.select("doc_id", "place", features(F.col("low")).alias("features"), trusted(F.col("mark"), F.col("low")).alias("sure")))
     weights, bias = fit(found)
     run = scorer(docs.sparkSession.sparkContext.broadcast(weights), bias)
     return found.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int, sure boolean, score double")
