@@ -413,6 +413,34 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.p8_found(docs(spark, ["a"]).limit(0), frame).count() == 0 and leakage.p8_found(docs(spark, texts), frame.limit(0)).count() == 0
 
 
+def test_many_items_give_the_same(spark, monkeypatch):
+    """With more seeds than are handed to every task, both sides are joined instead."""
+    rng = random.Random(18)
+    word = [f"w{k}" for k in range(500)]
+    items = [" ".join(rng.choices(word, k=30)) for _ in range(10)]
+    texts = [" ".join([*rng.choices(word, k=9), *items[k % 10].split()[: 8 + k], *rng.choices(word, k=9)]) for k in range(20)] + [None, ""]
+    frame = spark.createDataFrame([(k, t, "s", *BLANK) for k, t in enumerate(items)], f"item_id long, text string, suite string, {CLASH}")
+    few = sorted(map(tuple, leakage.leaked_passages(docs(spark, texts), frame).collect()))
+    monkeypatch.setattr(leakage, "SEEDS", 5)
+    assert sorted(map(tuple, leakage.leaked_passages(docs(spark, texts), frame).collect())) == few and len(few) > 10
+
+
+def test_recall_of_substituted_overlaps(spark):
+    """Of overlaps of 30 words with every eighth word or so substituted, at least 0.9 are found, as brute force finds them."""
+    rng = random.Random(19)
+    word = [f"w{k}" for k in range(5000)]
+    items = [rng.sample(word, 30) for _ in range(40)]
+    texts, want = [], set()
+    for k in range(400):
+        own = [w if rng.random() > 1 / 8 else "other" for w in items[k % 40]]
+        texts.append(" ".join([*rng.choices(word, k=10), *own, *rng.choices(word, k=10)]))
+        if sum(w != "other" for w in own) >= 22:
+            want.add((k, k % 40))
+    frame = spark.createDataFrame([(k, " ".join(t), "s", *BLANK) for k, t in enumerate(items)], f"item_id long, text string, suite string, {CLASH}")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(docs(spark, texts), frame).filter("matched >= 22").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 300
+
+
 # Residue --------------------------------------------------------------------------------------------------------------
 
 
@@ -429,6 +457,15 @@ def test_residue(spark):
     assert got - set(range(first, first + len(bad))) - {len(texts) - 1} == set()
 
 
+def test_wordings_that_are_discussed(spark):
+    """A text that tells of filler or errors is none, however often it comes, beside texts that are."""
+    good = [f"The noun{k % 40} shows how noun{k % 30} met noun{k % 7}. It took {k} weeks." for k in range(600)]
+    told = [f"Dummy copy and placeholder text: a printer explains why town {k} should test pages with true text." for k in range(40)]
+    bad = ["This is a dummy description for layout purposes only."] * 5 + ["Dies ist ein Blindtext."] * 5
+    got = {r["doc_id"] for r in residue.p9_found(docs(spark, [*good, *told, *bad])).collect()}
+    assert got == set(range(640, 650))
+
+
 def test_rare_trusted_wordings_are_learnt(spark, monkeypatch):
     """A trusted wording that stands once among many of another is found, however few passages are fitted on."""
     monkeypatch.setattr(residue, "FIT_TRUSTED", 5, raising=False)
