@@ -11,15 +11,17 @@ from almanac.session import materialize, small
 TEXT = ["title", "room", "date_text", "start_time_text"]
 
 
-def with_previous(facts: DataFrame) -> DataFrame:
+def with_previous(facts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``(session_id, prev_index, cur_index, p, c)``: every session of each pair of successive delivered snapshots.
 
-    ``p`` and ``c`` are its rows in the two, null where it is absent. Instead of joining the pairs, every row is
+    With ``groups`` (of ``history.burst_groups``) only the last delivered snapshot of every burst counts. ``p`` and ``c`` are its rows in the two, null where it is absent. Instead of joining the pairs, every row is
     handed to the pair that it begins and the one that it ends, so one shuffle by session does.
     """
     rows = last_rows(facts)
     fields = [c for c in rows.columns if c not in ("session_id", "order_index", "n_rows")]
     seen = materialize(rows.select("order_index").distinct())
+    if groups is not None:
+        seen = seen.join(groups.select("order_index", "group_id"), "order_index").groupBy("group_id").agg(F.max("order_index").alias("order_index"))
     ranked = Window.orderBy("order_index")  # as many rows as snapshots
     pairs = small(materialize(seen.select("order_index", F.lag("order_index").over(ranked).alias("before"), F.lead("order_index").over(ranked).alias("after"))))
     placed = rows.join(pairs, "order_index").withColumn("v", F.struct(*fields))
