@@ -29,10 +29,10 @@ def _facts(spark, d):
     return table(spark, d, "snapshot_sessions")
 
 
-def _audit(spark, d):
+def _audit(spark, d, least=5):
     rows = written(v.valid_vectors(_e(spark, d)))
     near = v.nearest(rows.select("row_id", "u"), rows.filter("row_id % 100 = 0").select("row_id", "u"), 8)
-    return v.neighbour_audit(near, rows)
+    return v.neighbour_audit(near, rows, least)
 
 
 def _vote(spark, d):
@@ -71,6 +71,8 @@ QUERIES = {
     "knn_exact": lambda spark, d: v.session_neighbours(_e(spark, d)),
     "weighted_vote": _vote,
     "neighbour_audit": _audit,
+    "neighbour_audit_three": lambda spark, d: _audit(spark, d, 3),
+    "neighbour_disagreements_three": lambda spark, d: v.disagreements(_audit(spark, d, 3)),
     "neighbour_disagreements": lambda spark, d: v.disagreements(_audit(spark, d)),
     "related_sessions": lambda spark, d: v.related(_e(spark, d), _s(spark, d)),
     "blocked_knn": lambda spark, d: v.blocked_neighbours(_e(spark, d)),
@@ -113,6 +115,8 @@ ORACLES = {
     "knn_exact": _VEC + "SELECT * FROM knn WHERE rank <= 8",
     "weighted_vote": _VEC + ", vt AS (SELECT query_id, theme, round(sum(pow(greatest(cosine, 0.0), 4)), 6) AS score FROM knn JOIN vec USING (row_id) WHERE rank <= 9 GROUP BY ALL) SELECT query_id, theme, score FROM vt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, theme DESC) = 1",
     "neighbour_audit": _AUDIT + " SELECT * FROM audit",
+    "neighbour_audit_three": _AUDIT.replace(">= 5", ">= 3") + " SELECT * FROM audit",
+    "neighbour_disagreements_three": _AUDIT.replace(">= 5", ">= 3") + " SELECT facet, count(*) AS flagged FROM audit GROUP BY facet",
     "neighbour_disagreements": _AUDIT + " SELECT facet, count(*) AS flagged FROM audit GROUP BY facet",
     "blocked_knn": _VEC + f", w AS (SELECT row_id, unnest({_TITLE}) AS w FROM vec), tell AS (SELECT * FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) <= 0.2 * (SELECT count(*) FROM vec))), sh AS (SELECT q.row_id AS query_id, r.row_id, count(*) AS shared FROM tell q JOIN tell r ON q.w = r.w AND q.row_id % 100 = 0 AND q.row_id <> r.row_id GROUP BY ALL), kp AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, row_id DESC) <= 180) SELECT query_id, row_id, shared, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) AS INTEGER) AS place FROM kp JOIN pairs USING (query_id, row_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) <= 9",
     "related_sessions": _VEC

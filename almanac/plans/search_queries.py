@@ -30,6 +30,7 @@ QUERIES = {
     "explorer_ordered": lambda spark, d: q.ordered(q.search(_s(spark, d), q.Filters(theme="Security")), ["1000042"], 25).select("id", "title", "start_at"),
     "text_search_and": lambda spark, d: q.search(_s(spark, d), q.Filters(query="agent workflows"), ("title",)),
     "text_search_not": lambda spark, d: q.search(_s(spark, d), q.Filters(query="pipelines", exclude="streaming robotics"), ("title",)),
+    "text_search_without": lambda spark, d: q.search(_s(spark, d), q.Filters(query="agent", exclude="data model"), ("title",)),
     "text_search_phrase": lambda spark, d: q.search(_s(spark, d), q.Filters(query='"at a time" talk'), ("title",)),
     "text_search_dnf": lambda spark, d: t.current_sessions(_s(spark, d).select("id", q.group_of(DNF).alias("matched")).filter("matched is not null")),
     "facet_filter": lambda spark, d: q.facets(_d(spark, d), **PARTY).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")),
@@ -77,6 +78,7 @@ ORACLES = {
     "explorer_ordered": f"WITH {S} SELECT id, title, start_at FROM s WHERE llm.theme = 'Security' ORDER BY CASE WHEN id = '1000042' THEN 1 END NULLS LAST, nullif(start_at, '') NULLS LAST, nullif(date_text, '') NULLS LAST, title NULLS LAST, id LIMIT 25",
     "text_search_and": _HAY + f"SELECT id, title FROM h WHERE {_word('agent')} AND {_word('workflows')}",
     "text_search_not": _HAY + f"SELECT id, title FROM h WHERE {_word('pipelines')} AND NOT ({_word('streaming')} OR {_word('robotics')})",
+    "text_search_without": _HAY + f"SELECT id, title FROM h WHERE {_word('agent')} AND NOT ({_word('data')} OR {_word('model')})",
     "text_search_phrase": _HAY + f"SELECT id, title FROM h WHERE contains(q, 'at a time') AND {_word('talk')}",
     "text_search_dnf": _HAY + f", m AS (SELECT id, CASE WHEN {_word('production', 'lower(title)')} THEN 0 WHEN contains(q, 'one backlog at a time') THEN 1 WHEN {_word('cost', 'td')} AND {_word('requests')} THEN 2 END AS matched FROM h) SELECT * FROM m WHERE matched IS NOT NULL".replace(") , m", "), m"),
     "facet_filter": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'en' AND source = 'party_invite' GROUP BY ALL",
