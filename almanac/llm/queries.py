@@ -15,6 +15,7 @@ QUERIES = {
     "p5_terms": lambda spark, d: term_frequency.session_terms(table(spark, d, "classified_sessions")),
     "p6_found": lambda spark, d: spellings.p6_found(table(spark, d, "sessions_25_speakers")),
     "p7_ids": lambda spark, d: tokenize.encode_texts(table(spark, d, "documents")),
+    "p7_decoded": lambda spark, d: tokenize.decode_ids(tokenize.encode_texts(table(spark, d, "documents"))),
     "p8_found": lambda spark, d: leakage.p8_found(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p8_overlaps": lambda spark, d: leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p9_found": lambda spark, d: residue.p9_found(table(spark, d, "documents")),
@@ -107,6 +108,7 @@ good AS (SELECT row_id, e FROM once WHERE list_sum(list_transform(e, lambda x: x
 pairs AS (SELECT a.row_id AS x, b.row_id AS y FROM good a JOIN good b ON a.row_id <> b.row_id AND list_cosine_similarity(a.e, b.e) >= 0.8)
 SELECT x AS row_id, least(x, min(y)) AS cluster_id FROM pairs GROUP BY x
 """,
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": r"""
 WITH clean AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE item_id IS NOT NULL),
 words AS (SELECT kind, id, regexp_extract_all((regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(lower(text), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&#9;', chr(9)), '&#46;', '.'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM clean),

@@ -107,15 +107,15 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield leaves(pd.concat(rest, ignore_index=True))
 
 
-def placed(nodes: DataFrame) -> DataFrame:
+def placed(nodes: DataFrame, sets: int) -> DataFrame:
     """Adds ``place``, what is sorted and walked together, and ``begin``, how many places of the signature it stands for.
 
     A beginning that more than SPLIT rows share is parted by the next place of the signature, again and again: its
-    neighbourhood is crowded at that depth in any case.
+    neighbourhood is crowded at that depth in any case. Of no more ``sets`` than that none can be, so nothing is counted.
     """
     beginning = lambda d: F.xxhash64("tree", F.slice("sig", 1, d))
     out = nodes.withColumn("place", beginning(1)).withColumn("begin", F.lit(1))
-    for d in range(2, MAX_DEPTH + 1):
+    for d in range(2, MAX_DEPTH + 1 if sets > SPLIT else 2):
         hot = materialize(out.filter(F.col("begin") == d - 1).groupBy("place").count().filter(F.col("count") > SPLIT).select("place", F.lit(True).alias("hot")))
         if hot.isEmpty():
             break
@@ -130,11 +130,11 @@ def similar_sets(sets: DataFrame, threshold: float, common: int = 1) -> DataFram
     sets: ``(set_id string, items array<string>)``, distinct sets without repeated items.
     """
     hashed = written(sets.filter(F.size("items") >= max(1, common)).select("set_id", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")))
-    target = math.log(1 - RECALL)
+    target, number = math.log(1 - RECALL), hashed.count()
     active, first, trees, found = hashed.select("set_id", "hashes", F.lit(0.0).alias("missed")), 0, FIRST_TREES, None
     while True:
         nodes = active.select("set_id", "hashes").mapInPandas(_sketcher(range(first, first + trees)), "set_id string, tree int, sig array<int>")
-        ordered = placed(nodes).repartition("place").sortWithinPartitions("place", "sig")
+        ordered = placed(nodes, number).repartition("place").sortWithinPartitions("place", "sig")
         leaves = written(ordered.mapInPandas(_walk, "set_id string, depth int, node long, size long"))
         near = leaves.filter("size > 1").select("set_id", "node")
         found = near if found is None else found.unionByName(near)

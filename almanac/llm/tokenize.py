@@ -130,3 +130,21 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
+
+
+def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(key, text)`` of every row: the text that its ids stand for, by the inverse mapping of pieces to bytes.
+
+    Null and empty lists give an empty text; bytes that aren't UTF-8, as of a list cut inside a character, give the
+    replacement character; an id outside the vocabulary is an error. Nothing is shuffled.
+    """
+    spark = encoded.sparkSession
+    model = spark.sparkContext.broadcast(bpe_model(read_ranks(os.path.join(folder, vocabulary))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode = codec(model.value).decode
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "text": [decode([int(k) for k in x]) if x is not None else "" for x in pdf[ids]]})
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, ids).mapInPandas(run, f"`{key}` {kind}, text string")

@@ -46,6 +46,14 @@ def test_ids_equal_the_public_encoder(spark, codec):
     assert [codec.decode(got[k]) for k in got] == [TEXTS[k] or "" for k in got]
 
 
+def test_decoding_a_table(spark, codec):
+    encoded = tokenize.encode_texts(docs(spark, TEXTS)).withColumn("text", F.lit("x"))
+    got = {r["doc_id"]: r["text"] for r in tokenize.decode_ids(encoded).collect()}
+    assert got == {k: t or "" for k, t in enumerate(TEXTS)}
+    assert tokenize.decode_ids(encoded.withColumn("ids", F.lit(None).cast("array<int>")).limit(1)).first()["text"] == ""
+    assert tokenize.decode_ids(encoded.limit(0)).count() == 0
+
+
 def test_random_texts_round_trip(codec):
     rng = random.Random(4)
     for _ in range(200):
@@ -170,7 +178,7 @@ def test_crowded_neighbourhoods_keep_the_recall(spark):
 def test_crowded_beginnings_are_parted(spark, monkeypatch):
     monkeypatch.setattr(set_similarity, "SPLIT", 1)  # every beginning that sets share is parted by its next places
     rows = [(k, 0, [7, k % 2, k % 3, k, 0, 0]) for k in range(30)] + [(99, 1, [7, 0, 0, 0, 0, 0])]
-    got = set_similarity.placed(spark.createDataFrame(rows, "set_id long, tree int, sig array<int>")).collect()
+    got = set_similarity.placed(spark.createDataFrame(rows, "set_id long, tree int, sig array<int>"), 31).collect()
     assert {r["begin"] for r in got if r["tree"] == 0} == {4} and [r["begin"] for r in got if r["tree"] == 1] == [1]
     assert len({r["place"] for r in got}) == 31
 
