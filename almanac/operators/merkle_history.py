@@ -86,6 +86,83 @@ def version_history(states: DataFrame, depth: int, last: int, values: list[str])
     return events.withColumn("to_ord", until).filter("cur is not null").select("key", F.col("ord").alias("from_ord"), "to_ord", *[f"cur.{v}" for v in values])
 
 
+def digest_tree(states: DataFrame, depth: int) -> DataFrame:
+    """``(level, node, digest)`` of one snapshot, the leaves at level ``depth`` and the root at 0: what is kept for the next one.
+
+    states: ``(leaf, key, h)``, one row per key.
+    """
+    level = materialize(leaf_digests(states.withColumn("ord", F.lit(0))).select("node", "digest"))
+    out = level.select(F.lit(depth).alias("level"), "node", "digest")
+    for d in reversed(range(depth)):
+        level = materialize(parent_digests(level.withColumn("ord", F.lit(0))).select("node", "digest"))
+        out = out.unionByName(level.select(F.lit(d).alias("level"), "node", "digest"))
+    return out
+
+
+def differing_leaves(old: DataFrame, new: DataFrame, depth: int) -> DataFrame:
+    """``(node)`` of the leaves in which two trees differ; a level is compared only below nodes that differ."""
+    found = None
+    for d in range(depth + 1):
+        sides = [t.filter(F.col("level") == d).select("node", F.col("digest").alias(c)) for t, c in ((old, "was"), (new, "now"))]
+        if found is not None:
+            parents = small(found.withColumnRenamed("node", "parent"))
+            sides = [s.withColumn("parent", F.shiftright("node", FANOUT_BITS)).join(parents, "parent", "left_semi").drop("parent") for s in sides]
+        both = sides[0].join(sides[1], "node", "full")
+        found = materialize(both.filter(~F.col("was").eqNullSafe(F.col("now"))).select("node"))
+    return found
+
+
+def append_snapshot(history: DataFrame, tree: DataFrame, states: DataFrame, depth: int, at: int, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The history with the versions that begin in a new snapshot ``at``, and the tree to keep for the next one.
+
+    history: ``(leaf, key, from_ord, to_ord, *values)`` in which what still holds has no ``to_ord``; states: ``(leaf, key,
+    h, *values)`` of the new snapshot. Versions in leaves whose digests agree stay as they are, whatever their number;
+    in the others what holds no more ends at the snapshot before, and new states are appended.
+    """
+    new = digest_tree(states, depth)
+    leaves = small(differing_leaves(tree, new, depth).withColumnRenamed("node", "leaf"))
+    open_ = history.filter("to_ord is null").join(leaves, "leaf", "left_semi").select("leaf", "key", "from_ord", state_hash(*values).alias("h"))
+    now = states.join(leaves, "leaf", "left_semi")
+    ended = open_.join(now.select("leaf", "key", "h"), ["leaf", "key", "h"], "left_anti").select("leaf", "key", "from_ord", F.lit(at - 1).alias("until"))
+    begun = now.join(open_, ["leaf", "key", "h"], "left_anti").select("leaf", "key", F.lit(at).alias("from_ord"), F.lit(None).cast("int").alias("to_ord"), *values)
+    closed = history.join(ended, ["leaf", "key", "from_ord"], "left").select("leaf", "key", "from_ord", F.coalesce("to_ord", "until").alias("to_ord"), *values)
+    return closed.unionByName(begun), new
+
+
+VALUES = ["remaining_capacity", "registrant_count", "room"]
+
+
+def appended_history(facts: DataFrame, index: DataFrame, appended: int = 1) -> DataFrame:
+    """``session_history``, with the last ``appended`` captures added one by one to the history of those before.
+
+    Nulls of a new capture are filled from the last version of their session, which is looked up for rows with nulls
+    only. Fields and cases as in ``session_history``.
+    """
+    order = capture_order(index, facts)
+    last = order.agg(F.max("ord")).first()[0] or 0
+    first = max(1, last - appended + 1)
+    depth = tree_depth(facts.agg(F.approx_count_distinct("session_id")).first()[0])
+    leaf = F.shiftrightunsigned(F.xxhash64("key"), 64 - FANOUT_BITS * depth).alias("leaf")
+    latest = written(latest_rows(facts, order, remaining_capacity=F.col("remaining_capacity"), registrant_count=F.col("registrant_count"), room=fold(F.col("room"))).withColumnRenamed("session_id", "key"))
+    so_far = Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    before = latest.filter(F.col("ord") < first).select(leaf, "key", "ord", *[F.last(v, ignorenulls=True).over(so_far).alias(v) for v in VALUES])
+    states = written(before.withColumn("h", state_hash(*VALUES)))
+    done = version_history(states, depth, first - 1, VALUES)
+    history = written(done.select(leaf, "key", "from_ord", F.when(F.col("to_ord") < first - 1, F.col("to_ord")).cast("int").alias("to_ord"), *VALUES))
+    tree = digest_tree(states.filter(F.col("ord") == first - 1), depth)
+    for at in range(first, last + 1):
+        rows = latest.filter(F.col("ord") == at)
+        blank = rows.filter(" or ".join(f"{v} is null" for v in VALUES)).select("key")
+        known = history.join(blank, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct(*VALUES), "from_ord").alias("k"))
+        filled = rows.join(known, "key", "left").select(leaf, "key", *[F.coalesce(v, f"k.{v}").alias(v) for v in VALUES])
+        history, tree = append_snapshot(history, tree, written(filled.withColumn("h", state_hash(*VALUES))), depth, at, VALUES)
+        history = written(history)
+    ends = order.select(F.col("ord").alias("to_ord"), F.col("order_index").alias("to_index"))
+    begins = order.select(F.col("ord").alias("from_ord"), F.col("order_index").alias("from_index"))
+    full = history.withColumn("to_ord", F.coalesce("to_ord", F.lit(last)))
+    return full.join(small(begins), "from_ord").join(small(ends), "to_ord").select(F.col("key").alias("session_id"), "from_index", "to_index", *VALUES)
+
+
 def session_history(facts: DataFrame, index: DataFrame) -> DataFrame:
     """Every state of a session's seats left, registrations and room, with the first and last capture it held for.
 
@@ -95,7 +172,7 @@ def session_history(facts: DataFrame, index: DataFrame) -> DataFrame:
     """
     order = capture_order(index, facts)
     last = order.agg(F.max("ord")).first()[0] or 0
-    values = ["remaining_capacity", "registrant_count", "room"]
+    values = VALUES
     latest = latest_rows(facts, order, remaining_capacity=F.col("remaining_capacity"), registrant_count=F.col("registrant_count"), room=fold(F.col("room")))
     keys = facts.agg(F.approx_count_distinct("session_id")).first()[0]
     depth = tree_depth(keys)

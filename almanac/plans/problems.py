@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from almanac.operators.iblt_diff import session_changes
-from almanac.operators.merkle_history import p1_found, session_history
+from almanac.operators.merkle_history import appended_history, p1_found, session_history
 from almanac.plans.history_queries import SNAP
 from almanac.session import table
 
 QUERIES = {
     "p1_found": lambda spark, d: p1_found(table(spark, d, "snapshot_sessions"), table(spark, d, "snapshot_index")),
     "p1_history": lambda spark, d: session_history(table(spark, d, "snapshot_sessions"), table(spark, d, "snapshot_index")),
+    "p1_appended": lambda spark, d: appended_history(table(spark, d, "snapshot_sessions"), table(spark, d, "snapshot_index"), 3),
     "p2_found": lambda spark, d: session_changes(table(spark, d, "snapshot_sessions"), table(spark, d, "snapshot_index")),
 }
 
@@ -32,6 +33,7 @@ k AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY o) AS run FROM b
 ORACLES = {
     "p1_found": _RUNS + "SELECT session_id, arg_min(order_index, o) AS from_index, arg_max(order_index, o) AS to_index FROM k GROUP BY session_id, run",
     "p1_history": _RUNS + "SELECT session_id, arg_min(order_index, o) AS from_index, arg_max(order_index, o) AS to_index, max(m) AS remaining_capacity, max(g) AS registrant_count, max(r) AS room FROM k GROUP BY session_id, run",
+    "p1_appended": _RUNS + "SELECT session_id, arg_min(order_index, o) AS from_index, arg_max(order_index, o) AS to_index, max(m) AS remaining_capacity, max(g) AS registrant_count, max(r) AS room FROM k GROUP BY session_id, run",
     "p2_found": _ORDER
     + rf""", x AS (SELECT session_id, o, order_index, t, r, CASE WHEN s IS NULL THEN NULL WHEN s LIKE '%m' THEN {_HOUR} % 12 ELSE {_HOUR} END * 60 + CAST(nullif(regexp_extract(s, ':(\d+)', 1), '') AS INTEGER) + CASE WHEN s LIKE '%pm' THEN 720 ELSE 0 END AS s FROM v),
 pair AS (SELECT a.o AS o, a.order_index AS prev_index, b.order_index AS cur_index FROM ord a JOIN ord b ON b.o = a.o + 1),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators.iblt_diff import changes_between, peeler, recovered_elements, session_changes, xxhash64_longs
-from almanac.operators.merkle_history import p1_found, session_history, tree_depth
+from almanac.operators.merkle_history import appended_history, p1_found, session_history, tree_depth
 
 INDEX = "order_index int, file_name string, snapshot_ts timestamp"
 FACTS = "order_index int, session_id string, title string, remaining_capacity int, registrant_count int, room string, start_time_text string, loaded_at timestamp, leaf string, ord string, key string, h string, bucket string"
@@ -104,6 +104,17 @@ def test_values_of_history(spark):
     assert got == {("7", 0, 1, 5, 1, "a"), ("7", 3, 3, 4, 1, "b"), ("8", 2, 2, 1, 1, "a")}
 
 
+@pytest.mark.parametrize("appended", [1, 3, 99])
+def test_appending_captures_gives_the_same_history(spark, appended):
+    rng = random.Random(7)
+    index = [(k, f"f{k:02}", at(10 * k)) for k in range(6)]
+    facts = [row(k, f"{s}", rng.choice([None, 1, 2]), rng.choice([None, 5]), rng.choice(["A", "a ", "C", None])) for k in range(6) for s in range(40) if rng.random() < 0.8]
+    f, i = frames(spark, index, facts)
+    want = sorted(map(str, session_history(f, i).collect()))
+    assert sorted(map(str, appended_history(f, i, appended).collect())) == want and len(want) > 20
+    assert appended_history(f.limit(0), i, appended).count() == 0
+
+
 def test_empty_and_null(spark):
     f, i = frames(spark, [], [])
     assert p1_found(f, i).count() == 0 and session_changes(f, i).count() == 0
