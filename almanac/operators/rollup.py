@@ -144,6 +144,25 @@ def hour_buckets(seats: DataFrame) -> DataFrame:
     return d.groupBy("date_text", "hour").agg(F.count("*").alias("sessions"), F.sum("reg").alias("reserved"), F.min_by("id", F.struct(-F.col("reg"), "id")).alias("top_id"), F.max("reg").alias("top_registrants"))
 
 
+def hourly_overview(facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per delivered snapshot, day and covered hour: sessions, registrations and the best attended session.
+
+    Day, start and registrations are those of the snapshot; the end, which snapshots lack, and the number of speakers
+    come from the session's current record, and a session without one lasts an hour. Ties of attendance go to the smaller
+    id. Rows are combined per session and snapshot before they move, then per snapshot, day and hour.
+    """
+    rows = last_rows(facts, ["date_text", "start_time_text", "registrant_count"])
+    extra = current_sessions(sessions.select("id", "end_time_text", F.size(F.coalesce("speakers.name", F.array().cast("array<string>"))).alias("people")))
+    d = rows.join(extra, rows.session_id == extra.id, "left").withColumn("registrants", F.col("registrant_count"))
+    start = clock(F.col("start_time_text"))
+    timed = d.withColumn("sm", start).withColumn("em", F.coalesce(clock(F.col("end_time_text")), start + 60)).filter("date_text <> '' and sm is not null")
+    first = F.floor(F.col("sm") / 60).cast("int")
+    hours = timed.withColumn("hour", F.explode(F.sequence(first, F.greatest(first + 1, F.ceil(F.col("em") / 60).cast("int")) - 1)))
+    reg = F.coalesce("registrants", F.lit(0))
+    best = F.min_by("session_id", F.struct(-reg, "session_id"))
+    return hours.groupBy("order_index", "date_text", "hour").agg(F.count("*").alias("sessions"), F.sum(reg).alias("reserved"), best.alias("top_id"), F.max(reg).alias("top_registrants"), F.sum(F.coalesce("people", F.lit(0))).alias("speakers"))
+
+
 def heat_rows(seats: DataFrame, most: int = 1000) -> DataFrame:
     """Per day and starting hour: seats taken by sessions that start then and aren't too small or too large; hours without any are hidden."""
     d = scheduled(seats).filter((F.col("registrants") > 1) & (F.col("registrants") < most))

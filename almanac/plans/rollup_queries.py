@@ -33,6 +33,7 @@ QUERIES = {
     "speaker_rollup": lambda spark, d: r.speaker_rollup(_s(spark, d)),
     "word_stats": lambda spark, d: r.word_stats(_s(spark, d)),
     "hour_buckets": lambda spark, d: r.hour_buckets(_seats(spark, d, *_TAKEN)),
+    "hourly_overview": lambda spark, d: r.hourly_overview(table(spark, d, "snapshot_sessions"), _s(spark, d)),
     "heat_rows": lambda spark, d: r.heat_rows(_seats(spark, d, *_TAKEN)),
     "fill_scale": lambda spark, d: r.fill_scale(_seats(spark, d, "remaining", "capacity", "registrants")),
     "time_bounds": lambda spark, d: r.time_bounds(_seats(spark, d, "start_time_text", "end_time_text")),
@@ -70,6 +71,7 @@ ORACLES = {
     "speaker_rollup": rf"WITH {S}, {_SPK}, n AS (SELECT id, pos, company, trim(regexp_replace(name, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')) AS name FROM sp) SELECT name, count(*) AS n, count(DISTINCT id) AS sessions, arg_min(company, (id, pos)) FILTER (trim(coalesce(company, '')) <> '') AS company FROM n WHERE name <> '' GROUP BY name HAVING count(*) >= 2",
     "word_stats": f"WITH {S}, {_WORDS} SELECT * FROM words ORDER BY n DESC, word LIMIT 96",
     "hour_buckets": _TIMES + ", e AS (SELECT date_text, id, coalesce(registrants, 0) AS reg, unnest(range(sh, eh)) AS hour FROM h) SELECT date_text, hour, count(*) AS sessions, CAST(sum(reg) AS BIGINT) AS reserved, arg_min(id, (-reg, id)) AS top_id, max(reg) AS top_registrants FROM e GROUP BY ALL",
+    "hourly_overview": f"WITH {SNAP}, {S}, t AS (SELECT order_index, snap.date_text AS date_text, session_id, coalesce(snap.registrant_count, 0) AS reg, coalesce(len(s.speakers), 0) AS people, {_CLOCK.format('snap.start_time_text')} AS sm, coalesce({_CLOCK.format('s.end_time_text')}, {_CLOCK.format('snap.start_time_text')} + 60) AS em FROM snap LEFT JOIN s ON s.id = session_id), h AS (SELECT *, unnest(range(sm // 60, greatest(sm // 60 + 1, CAST(ceil(em / 60.0) AS INTEGER)))) AS hour FROM t WHERE date_text <> '' AND sm IS NOT NULL) SELECT order_index, date_text, CAST(hour AS INTEGER) AS hour, count(*) AS sessions, CAST(sum(reg) AS BIGINT) AS reserved, arg_min(session_id, (-reg, session_id)) AS top_id, max(reg) AS top_registrants, CAST(sum(people) AS BIGINT) AS speakers FROM h GROUP BY ALL",
     "heat_rows": _TIMES + "SELECT date_text, sh AS hour, CAST(sum(registrants) AS BIGINT) AS taken, count(*) AS sessions, arg_min(id, (-registrants, id)) AS top_id FROM h WHERE registrants > 1 AND registrants < 1000 GROUP BY ALL",
     "fill_scale": SEATS + ", v AS (SELECT *, coalesce(capacity < 100, true) AS is_small FROM seats WHERE registrants > 1 AND registrants < 1000), m AS (SELECT *, max(registrants) OVER (PARTITION BY is_small) AS most FROM v) SELECT id, round(coalesce(CASE WHEN capacity > 0 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * registrants / capacity)) END, CASE WHEN remaining <= 0 THEN 100.0::DOUBLE WHEN remaining <= 10 THEN 92.0::DOUBLE END), 4) AS fill_pct, registrants > capacity AS overbooked, is_small, round(greatest(8.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * registrants / most)), 4) AS marker_pct FROM m",
     "time_bounds": _TIMES + "SELECT CAST(greatest(0, least(95, coalesce(min(sm // 15), 0))) AS INTEGER) AS first_slot, CAST(greatest(0, least(95, coalesce(greatest(max(sm // 15), max(CAST(ceil(em / 15.0) AS INTEGER))), 95))) AS INTEGER) AS last_slot, min(sm) // 60 AS first_hour, max(sm) // 60 + 1 AS end_hour FROM t",

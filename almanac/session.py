@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after its rows were counted.
+#: Rows and bytes (as JSON) up to which a side may be broadcast after both were counted.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
+
+_folders: list[str] = []
 
 
 def get_spark(app: str = "almanac", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -57,13 +60,29 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a large intermediate by a Parquet table in the shared folder (columnar and compressed)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/almanac-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast if its counted rows are within the bound; else leaves the choice to Catalyst.
+def discard(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` has left in the shared folder so far, and says how many.
+
+    For a program that is done with its results: frames that read these tables can't be used any more.
+    """
+    jvm = spark._jvm
+    for path in _folders:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(_folders)
+    _folders.clear()
+    return n
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a side for broadcast if its counted rows and bytes are within the bounds; else leaves the choice to Catalyst.
 
     Meant for materialized frames: the count is a job of its own.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, length = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and length <= size else df

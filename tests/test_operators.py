@@ -166,6 +166,36 @@ def test_sinks(spark, tmp_path):
     assert {r["remaining_capacity"] for r in sinks.availability_artifact(full).collect()} == {""}
 
 
+def test_further_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "May 1"), ("2", "May 2"), ("3", "May 1")], "id string, day string")
+    at = str(tmp_path / "b")
+    sinks.write_buckets(rows, F.col("day"), at)
+    sinks.write_buckets(rows.filter("id = '3'"), F.col("day"), at)  # May 1 is replaced, May 2 stays
+    assert {(r["id"], r["bucket"]) for r in spark.read.parquet(at).collect()} == {("3", "May 1"), ("2", "May 2")}
+    ranked = spark.createDataFrame([(1, 9, 0.5, 2), (1, 8, 0.9, 1), (2, 7, 0.1, 1)], "query_id long, row_id long, score double, place int")
+    assert {r["query_id"]: [tuple(x) for x in r["related"]] for r in sinks.related_map(ranked).collect()} == {1: [(8, 0.9), (9, 0.5)], 2: [(7, 0.1)]}
+    sinks.json_lines(rows, str(tmp_path / "j"))
+    assert sorted(map(tuple, spark.read.schema("id string, day string").json(str(tmp_path / "j")).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_labels_of_a_client(spark):
+    from almanac.operators import rules
+
+    rows = spark.createDataFrame([("1", "agents"), ("2", None)], "id string, title string")
+    got = rules.external_labels(rows, lambda b: b.assign(theme=b["title"].fillna("none"))[["id", "theme"]], "id string, theme string")
+    assert {tuple(r) for r in got.collect()} == {("1", "agents"), ("2", "none")}
+
+
+def test_small_sides_are_checked(spark):
+    from almanac import session
+
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 50).alias("s"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(session.small(df)) and not hinted(session.small(df, rows=9)) and not hinted(session.small(df, size=400))
+    kept = session.written(df)
+    assert kept.count() == 10 and session.discard(spark) > 0 and session.discard(spark) == 0
+
+
 def test_union_of_shards(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2,)], "k int")
     assert {tuple(r) for r in incremental.united([a, b]).collect()} == {(1, "x"), (2, None)}
