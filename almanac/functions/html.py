@@ -9,7 +9,7 @@ from almanac.functions.text import html_unescape, squeeze
 
 #: Words that mark navigation, and words that mark an event's own text.
 NAV_WORDS = "products|solutions|resources|pricing|blog|docs|support|careers|company|platform"
-EVENT_WORDS = "join|invite|event|party|reception|network|networking|dinner|lunch|breakfast|drinks|food|register|rsvp|community|founders|engineers"
+EVENT_WORDS = "join|invite|event|party|reception|network|networking|happy hour|dinner|lunch|breakfast|drinks|cocktails|food|register|rsvp|builders|leaders|community|founders|engineers"
 
 
 def strip_tags(c: Column) -> Column:

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from almanac.functions.text import squeeze
 from almanac.operators.catalog import band, current_sessions, last_rows, number
 
-#: Words too common to count, short words that count all the same, and plurals that mean the singular.
-STOP_WORDS = "the a an and or of to for in on at by with from into your you our their this that these those is are be as it its how why what when where who will can all more new using use build building through across after before about session sessions learn join explore discover may they".split()
+#: Words too common to count, short words that count all the same, and plurals that mean the singular. The
+#: words of the host's own name are a parameter beside them.
+STOP_WORDS = "the a an and or of to for in on at by with from into your you our their this that these those is are be as it its how why what when where who will can all more new using use build building through across after before about session sessions breakout breakouts learn join explore discover talks relevant attending shared contact may they".split()
 SHORT_WORDS = ["ai", "ml", "go"]
-PLURALS = {"llms": "llm", "models": "model", "agents": "agent", "databases": "database", "developers": "developer", "leaders": "leader", "teams": "team", "services": "service", "workshops": "workshop", "groups": "group", "applications": "application", "analysts": "analyst", "managers": "manager", "architects": "architect"}
+PLURALS = {"llms": "llm", "models": "model", "meetups": "meetup", "agents": "agent", "databases": "database", "developers": "developer", "leaders": "leader", "scientists": "scientist", "analysts": "analyst", "managers": "manager", "architects": "architect", "teams": "team", "services": "service", "workshops": "workshop", "groups": "group", "applications": "application"}
+HOST_WORDS = ("orvanta", "cloud", "summit")
+#: How merged words are shown: both forms, initials in capitals.
+LABELS = {one: f"{one}/{many}" if one != "llm" else "LLM/LLMs" for many, one in PLURALS.items()}
+#: The order of themes and audiences among those equally frequent.
+THEME_ORDER = ["App dev", "Applied AI", "Security", "Data", "Business", "Infra", "Other"]
+AUDIENCE_ORDER = ["Leaders", "Sec pros", "Infra/Ops", "Data pros", "Developers"]
 LEGAL_SUFFIX = r"\s+(?:inc|ltd|llc|corp|gmbh|co|plc|ag|limited|corporation)$"
 
 
@@ -64,6 +71,29 @@ def label_counts(sessions: DataFrame) -> DataFrame:
     return s.select(facets).select("x.*").filter("label <> '' and not (facet = 'audience' and label = 'General')").groupBy("facet", "label").agg(F.count("*").alias("n"))
 
 
+def label_places(sessions: DataFrame) -> DataFrame:
+    """Themes within each focus, and audiences within each theme, ranked by sessions and then in their fixed order.
+
+    ``(level, parent, label, n, place)``. Labels that the order doesn't have are left out.
+    """
+    s = current_sessions(sessions.select("id", "llm.ai_focus", "llm.theme", "llm.audience"))
+    pair = lambda level, parent, label, order: F.struct(F.lit(level).alias("level"), F.col(parent).alias("parent"), F.col(label).alias("label"), F.array_position(F.array(*map(F.lit, order)), F.col(label)).alias("at"))
+    d = s.select(F.explode(F.array(pair("theme", "ai_focus", "theme", THEME_ORDER), pair("audience", "theme", "audience", AUDIENCE_ORDER))).alias("x")).select("x.*")
+    counted = d.filter("parent <> '' and at > 0").groupBy("level", "parent", "label", "at").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("level", "parent").orderBy(F.col("n").desc(), "at"))  # as many rows as labels
+    return counted.select("level", "parent", "label", "n", place.alias("place"))
+
+
+def type_and_tag_counts(sessions: DataFrame, tags: int = 20) -> DataFrame:
+    """``(kind, name, n, place)``: all categories, and the ``tags`` commonest topics, by sessions; ties by name."""
+    s = current_sessions(sessions.select("id", "session_category", "topics"))
+    topics = F.transform(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))), lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("name")))
+    d = s.select(F.explode(F.concat(F.array(F.struct(F.lit("type").alias("kind"), F.col("session_category").alias("name"))), topics)).alias("x")).select("x.*")
+    counted = d.filter("name <> ''").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "name")))
+    return ranked.filter((F.col("kind") == "type") | (F.col("place") <= tags))
+
+
 def flow_tree(sessions: DataFrame) -> DataFrame:
     """Sessions by focus, by theme within it and by audience within both; General audiences are left out at that level."""
     s = current_sessions(sessions.filter("llm.ai_focus is not null").select("id", "llm.ai_focus", "llm.theme", "llm.audience"))
@@ -114,16 +144,17 @@ def speaker_rollup(sessions: DataFrame, least: int = 2) -> DataFrame:
     return d.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions"), company.alias("company")).filter(F.col("n") >= least)
 
 
-def word_stats(sessions: DataFrame, limit: int = 96) -> DataFrame:
-    """The commonest words of titles, descriptions, topics and companies, with how many sessions have them."""
+def word_stats(sessions: DataFrame, limit: int = 96, host: tuple[str, ...] = HOST_WORDS) -> DataFrame:
+    """The commonest words of titles, descriptions, topics and companies, with how they are shown and how many sessions have them."""
     none = F.array().cast("array<string>")
     text = F.lower(F.concat_ws(" ", "title", "description", F.array_join(F.coalesce("topics", none), " "), F.array_join(F.transform(F.coalesce("speakers.company", none), lambda x: F.coalesce(x, F.lit(""))), " ")))
     s = current_sessions(sessions.select("id", text.alias("text")))
     found = s.select("id", F.explode(F.regexp_extract_all("text", F.lit("[a-z][a-z0-9+.-]*"), F.lit(0))).alias("raw"))
     word = F.regexp_replace("raw", r"[^a-z0-9+#]+$", "")
     word = F.coalesce(F.try_element_at(mapping(PLURALS), word), word)
-    kept = found.select("id", word.alias("word")).filter(((F.length("word") >= 3) | F.col("word").isin(SHORT_WORDS)) & ~F.col("word").isin(STOP_WORDS))
-    return kept.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions")).orderBy(F.col("n").desc(), "word").limit(limit)
+    kept = found.select("id", word.alias("word")).filter(((F.length("word") >= 3) | F.col("word").isin(SHORT_WORDS)) & ~F.col("word").isin([*STOP_WORDS, *host]))
+    top = kept.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("sessions")).orderBy(F.col("n").desc(), "word").limit(limit)
+    return top.select("word", F.coalesce(F.try_element_at(mapping(LABELS), F.col("word")), F.col("word")).alias("label"), "n", "sessions")
 
 
 def clock(c: Column) -> Column:
@@ -169,6 +200,17 @@ def heat_rows(seats: DataFrame, most: int = 1000) -> DataFrame:
     return d.groupBy("date_text", F.col("sh").alias("hour")).agg(F.sum("registrants").alias("taken"), F.count("*").alias("sessions"), F.min_by("id", F.struct(-F.col("registrants"), "id")).alias("top_id")).filter("taken > 0")
 
 
+def heat_order(seats: DataFrame) -> DataFrame:
+    """Sessions of each day and starting hour in the order in which a cell lists them.
+
+    By registrations, then how full, then the fewest seats left, missing ones last each, then title and id.
+    """
+    fill = F.when((F.col("capacity") > 0) & F.col("registrants").isNotNull(), F.round(100.0 * F.col("registrants") / F.col("capacity"), 6))
+    order = [F.col("registrants").desc_nulls_last(), fill.desc_nulls_last(), F.col("remaining").asc_nulls_last(), F.col("title").asc_nulls_last(), F.col("id").asc()]
+    d = scheduled(seats).select("date_text", F.col("sh").alias("hour"), "id", "title", "registrants", "capacity", "remaining")
+    return d.select("date_text", "hour", "id", F.row_number().over(Window.partitionBy("date_text", "hour").orderBy(*order)).alias("place"))
+
+
 def fill_scale(seats: DataFrame) -> DataFrame:
     """How full each session is, and its registrations against the most of its room class, both in 0..100."""
     ratio = F.when((F.col("capacity") > 0) & F.col("registrants").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * F.col("registrants") / F.col("capacity"))))

@@ -26,6 +26,9 @@ QUERIES = {
     "availability_counts": lambda spark, d: r.availability_counts(_seats(spark, d, *_BANDS)),
     "category_fullness": lambda spark, d: r.category_fullness(_seats(spark, d, *_BANDS)),
     "label_counts": lambda spark, d: r.label_counts(_s(spark, d)),
+    "label_places": lambda spark, d: r.label_places(_s(spark, d)),
+    "type_and_tag_counts": lambda spark, d: r.type_and_tag_counts(_s(spark, d)),
+    "heat_order": lambda spark, d: r.heat_order(_seats(spark, d, "title", *_TAKEN, "capacity", "remaining")),
     "flow_tree": lambda spark, d: r.flow_tree(_s(spark, d)),
     "company_counts": lambda spark, d: r.company_counts(_s(spark, d)),
     "company_sessions": lambda spark, d: r.company_sessions(_s(spark, d)),
@@ -56,8 +59,9 @@ _LABELS = "l AS (SELECT unnest(['ai_focus', 'theme', 'audience']) AS facet, unne
 _SPK = "sp AS (SELECT id, x.name AS name, x.company AS company, pos FROM (SELECT id, unnest(speakers) AS x, unnest(range(len(speakers))) AS pos FROM s)), k AS (SELECT *, regexp_replace(trim(regexp_replace(replace(lower(company), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' +(inc|ltd|llc|corp|gmbh|co|plc|ag|limited|corporation)$', '') AS key FROM sp), ck AS (SELECT *, list_contains(string_split(key, ' '), 'orvanta') AS host FROM k WHERE key <> '')"
 _COMP = "comp AS (SELECT key, count(DISTINCT id) AS sessions, min(company) AS company FROM ck WHERE NOT host GROUP BY key HAVING count(DISTINCT id) >= 2)"
 _PLUR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in r.PLURALS.items()) + "}"
+_LABEL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in r.LABELS.items()) + "}"
 _WORDS = f"""raw AS (SELECT id, regexp_replace(unnest(regexp_extract_all(lower(concat_ws(' ', title, description, coalesce(array_to_string(topics, ' '), ''), coalesce(array_to_string(list_transform(speakers, lambda x: coalesce(x.company, '')), ' '), ''))), '[a-z][a-z0-9+.-]*')), '[^a-z0-9+#]+$', '') AS w FROM s),
-norm AS (SELECT id, coalesce({_PLUR}[w], w) AS word FROM raw), words AS (SELECT word, count(*) AS n, count(DISTINCT id) AS sessions FROM norm WHERE (length(word) >= 3 OR word IN ('ai', 'ml', 'go')) AND word NOT IN ({", ".join(f"'{w}'" for w in r.STOP_WORDS)}) GROUP BY word)"""
+norm AS (SELECT id, coalesce({_PLUR}[w], w) AS word FROM raw), words AS (SELECT word, count(*) AS n, count(DISTINCT id) AS sessions FROM norm WHERE (length(word) >= 3 OR word IN ('ai', 'ml', 'go')) AND word NOT IN ({", ".join(f"'{w}'" for w in [*r.STOP_WORDS, *r.HOST_WORDS])}) GROUP BY word)"""
 
 ORACLES = {
     "availability_overlay": SEATS + "SELECT * FROM seats",
@@ -69,7 +73,10 @@ ORACLES = {
     "company_sessions": f"WITH {S}, {_SPK} SELECT key, count(DISTINCT id) AS sessions, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM ck GROUP BY key HAVING count(DISTINCT id) >= 2",
     "distinct_companies": f"WITH {S}, {_SPK} SELECT count(DISTINCT key) AS companies, count(DISTINCT key) FILTER (NOT host) AS other_companies FROM ck",
     "speaker_rollup": rf"WITH {S}, {_SPK}, n AS (SELECT id, pos, company, trim(regexp_replace(name, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')) AS name FROM sp) SELECT name, count(*) AS n, count(DISTINCT id) AS sessions, arg_min(company, (id, pos)) FILTER (trim(coalesce(company, '')) <> '') AS company FROM n WHERE name <> '' GROUP BY name HAVING count(*) >= 2",
-    "word_stats": f"WITH {S}, {_WORDS} SELECT * FROM words ORDER BY n DESC, word LIMIT 96",
+    "word_stats": f"WITH {S}, {_WORDS} SELECT word, coalesce({_LABEL}[word], word) AS label, n, sessions FROM words ORDER BY n DESC, word LIMIT 96",
+    "label_places": f"WITH {S}, x AS (SELECT 'theme' AS level, llm.ai_focus AS parent, llm.theme AS label, list_position({r.THEME_ORDER}, llm.theme) AS pos FROM s UNION ALL SELECT 'audience', llm.theme, llm.audience, list_position({r.AUDIENCE_ORDER}, llm.audience) FROM s), c AS (SELECT level, parent, label, pos, count(*) AS n FROM x WHERE parent <> '' AND pos > 0 GROUP BY ALL) SELECT level, parent, label, n, CAST(row_number() OVER (PARTITION BY level, parent ORDER BY n DESC, pos) AS INTEGER) AS place FROM c",
+    "type_and_tag_counts": f"WITH {S}, x AS (SELECT 'type' AS kind, session_category AS name FROM s UNION ALL SELECT 'tag', unnest(list_distinct(topics)) FROM s), c AS (SELECT kind, name, count(*) AS n FROM x WHERE name <> '' GROUP BY ALL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS INTEGER) AS place FROM c) SELECT * FROM p WHERE kind = 'type' OR place <= 20",
+    "heat_order": _TIMES + "SELECT date_text, CAST(sh AS INTEGER) AS hour, id, CAST(row_number() OVER (PARTITION BY date_text, sh ORDER BY registrants DESC NULLS LAST, CASE WHEN capacity > 0 THEN round(100.0::DOUBLE * registrants / capacity, 6) END DESC NULLS LAST, remaining ASC NULLS LAST, title ASC NULLS LAST, id) AS INTEGER) AS place FROM h",
     "hour_buckets": _TIMES + ", e AS (SELECT date_text, id, coalesce(registrants, 0) AS reg, unnest(range(sh, eh)) AS hour FROM h) SELECT date_text, hour, count(*) AS sessions, CAST(sum(reg) AS BIGINT) AS reserved, arg_min(id, (-reg, id)) AS top_id, max(reg) AS top_registrants FROM e GROUP BY ALL",
     "hourly_overview": f"WITH {SNAP}, {S}, t AS (SELECT order_index, snap.date_text AS date_text, session_id, coalesce(snap.registrant_count, 0) AS reg, coalesce(len(s.speakers), 0) AS people, {_CLOCK.format('snap.start_time_text')} AS sm, coalesce({_CLOCK.format('s.end_time_text')}, {_CLOCK.format('snap.start_time_text')} + 60) AS em FROM snap LEFT JOIN s ON s.id = session_id), h AS (SELECT *, unnest(range(sm // 60, greatest(sm // 60 + 1, CAST(ceil(em / 60.0) AS INTEGER)))) AS hour FROM t WHERE date_text <> '' AND sm IS NOT NULL) SELECT order_index, date_text, CAST(hour AS INTEGER) AS hour, count(*) AS sessions, CAST(sum(reg) AS BIGINT) AS reserved, arg_min(session_id, (-reg, session_id)) AS top_id, max(reg) AS top_registrants, CAST(sum(people) AS BIGINT) AS speakers FROM h GROUP BY ALL",
     "heat_rows": _TIMES + "SELECT date_text, sh AS hour, CAST(sum(registrants) AS BIGINT) AS taken, count(*) AS sessions, arg_min(id, (-registrants, id)) AS top_id FROM h WHERE registrants > 1 AND registrants < 1000 GROUP BY ALL",

@@ -68,7 +68,7 @@ _NO_TAGS = r"regexp_replace(regexp_replace(text, '(?i)<br\s*/?>|</p>', chr(10),
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
 _ISO = "CASE WHEN regexp_matches(day, '^\\d{{4}}-') THEN day || 'T' || lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0') || ':00' END"
 _NUM = "try_cast(trim({0}) AS INTEGER)"
-_EV = "join|invite|event|party|reception|network|networking|dinner|lunch|breakfast|drinks|food|register|rsvp|community|founders|engineers"
+_EV = "join|invite|event|party|reception|network|networking|happy hour|dinner|lunch|breakfast|drinks|cocktails|food|register|rsvp|builders|leaders|community|founders|engineers"
 _NAV = "products|solutions|resources|pricing|blog|docs|support|careers|company|platform"
 
 ORACLES = {
