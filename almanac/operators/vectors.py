@@ -123,7 +123,17 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _related_scores(q: dict, r: dict) -> tuple[np.ndarray, np.ndarray]:
+def _indexed(q: dict, r: dict) -> np.ndarray:
+    """Which rows an index of words gives for which queries: those that share a title word, and for queries marked wide also
+    those with one of the query's other words in the title, a common topic or an equal category or label."""
+    more = (_shared(q["tokens"], r["head"]) > 0) | (_shared(q["topics"], r["topics"]) > 0)
+    for c in ("category", "ai_focus", "theme", "audience"):
+        x, y = _codes(q[c], r[c])
+        more |= (x[:, None] == y[None]) & (q[c] != "")[:, None]
+    return (_shared(q["head"], r["head"]) > 0) | (more & q["wide"].astype(bool)[:, None])
+
+
+def _related_scores(q: dict, r: dict, indexed: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Cosines and scores of all queries with all rows; a score of -inf is no candidate."""
     cos = np.round(np.stack(q["u"]) @ np.stack(r["u"]).T, 6)
     codes = {c: _codes(q[c], r[c]) for c in ("title", "ai_focus", "theme", "audience", "category")}
@@ -137,6 +147,8 @@ def _related_scores(q: dict, r: dict) -> tuple[np.ndarray, np.ndarray]:
     score = score + topics / np.maximum(union, 1) * 0.06 + shared / np.maximum(most, 1) * 0.05 + same("category", 0.015)
     score = np.copysign(np.floor(np.abs(score) * 1e4 + 0.5) / 1e4, score)
     apart = ~equal["title"] & (q["ids"][:, None] != r["ids"][None])
+    if indexed:
+        apart &= _indexed(q, r)
     return cos, np.where(apart & (equal["ai_focus"] | (shared > 0)) & ((cos > 0.45) | (shared > 0)), score, -np.inf)
 
 
@@ -163,11 +175,48 @@ def related(table: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
     title = F.coalesce(F.concat(F.lit("="), F.lower(F.trim("title"))), F.lit(""))  # apart from a missing one
     full = written(rows.join(s, "url", "left").select("row_id", "u", title.alias("title"), "ai_focus", "theme", "audience", tokens.alias("tokens"), topics.alias("topics"), F.coalesce(F.lower(F.trim("s.session_category")), F.lit("")).alias("category")))
 
+    return _best_related(full, full.filter("row_id % 100 = 0"), k)
+
+
+def related_indexed(table: DataFrame, sessions: DataFrame, k: int = 5, few: int = 50) -> DataFrame:
+    """``related`` among candidates of an index of words, with the words of title, description and topics.
+
+    Candidates share a title word with the query. A query with fewer than ``few`` of them, itself counted, also takes
+    rows whose title has one of its other words, and rows with a common topic or an equal category or label. Which
+    queries these are is counted in a first pass of blocks. Fields and ties as in ``related``.
+    """
+    rows = written(valid_vectors(table))
+    s = current_sessions(sessions.filter("url <> ''").select("id", "url", "topics", "session_category", "description")).groupBy("url").agg(F.max(F.struct("id", "topics", "session_category", "description")).alias("s"))
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9+.#/-]*"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(TITLE_STOP)))
+    listed = F.filter(F.coalesce("s.topics", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    title = F.coalesce(F.concat(F.lit("="), F.lower(F.trim("title"))), F.lit(""))  # apart from a missing one
+    text = F.concat_ws(" ", "title", "s.description", F.array_join(listed, " "))
+    full = rows.join(s, "url", "left").select(
+        "row_id", "u", title.alias("title"), "ai_focus", "theme", "audience", words(F.coalesce("title", F.lit(""))).alias("head"), words(text).alias("tokens"),
+        F.array_distinct(F.transform(listed, F.lower)).alias("topics"), F.coalesce(F.lower(F.trim("s.session_category")), F.lit("")).alias("category"),
+    )
+    full = written(full)
+    queries = full.filter("row_id % 100 = 0")
+
+    def sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                for q, r in _sliced(row):
+                    yield pd.DataFrame({"row_id": q["ids"], "n": (_shared(q["head"], r["head"]) > 0).sum(axis=1)})
+
+    counted = _meetings(full.select("row_id", "head"), queries.select("row_id", "head")).mapInPandas(sharing, "row_id long, n long")
+    wide = counted.groupBy("row_id").agg((F.sum("n") < few).alias("wide"))
+    return _best_related(full, written(queries.join(wide, "row_id")), k, indexed=True)
+
+
+def _best_related(full: DataFrame, queries: DataFrame, k: int, indexed: bool = False) -> DataFrame:
+    """The k rows of best score for each query; every block of queries keeps k rows of every block of rows."""
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 for q, r in _sliced(row):
-                    cos, score = _related_scores(q, r)
+                    cos, score = _related_scores(q, r, indexed)
                     least = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, [min(k, score.shape[1]) - 1]]
                     i, j = np.nonzero((score >= least) & (score > -np.inf))
                     order = np.lexsort((j, -cos[i, j], -score[i, j], i))
@@ -176,7 +225,7 @@ def related(table: DataFrame, sessions: DataFrame, k: int = 5) -> DataFrame:
                     i, j = i[first], j[first]
                     yield pd.DataFrame({"query_id": q["ids"][i], "row_id": r["ids"][j], "score": score[i, j], "cosine": cos[i, j]})
 
-    d = _meetings(full, full.filter("row_id % 100 = 0")).mapInPandas(best, "query_id long, row_id long, score double, cosine double")
+    d = _meetings(full, queries).mapInPandas(best, "query_id long, row_id long, score double, cosine double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("cosine").desc(), "row_id"))
     return d.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "row_id", "score", "cosine", "place")
 

@@ -75,6 +75,7 @@ QUERIES = {
     "neighbour_disagreements_three": lambda spark, d: v.disagreements(_audit(spark, d, 3)),
     "neighbour_disagreements": lambda spark, d: v.disagreements(_audit(spark, d)),
     "related_sessions": lambda spark, d: v.related(_e(spark, d), _s(spark, d)),
+    "related_indexed": lambda spark, d: v.related_indexed(_e(spark, d), _s(spark, d)),
     "blocked_knn": lambda spark, d: v.blocked_neighbours(_e(spark, d)),
     "refresh_plan": lambda spark, d: inc.refresh_plan(_facts(spark, d)),
     "manifest_overlay": lambda spark, d: inc.overlaid(_facts(spark, d)),
@@ -103,6 +104,7 @@ _AUDIT = _VEC + """, near AS (SELECT query_id, rank, unnest(['ai_focus', 'theme'
 maj AS (SELECT query_id, facet, arg_min(label, (-n, f)) AS majority, max(n) AS n FROM cnt GROUP BY ALL), own AS (SELECT row_id AS query_id, unnest(['ai_focus', 'theme', 'audience']) AS facet, unnest([ai_focus, theme, audience]) AS own FROM vec), audit AS (SELECT query_id, facet, own, majority, n FROM maj JOIN own USING (query_id, facet) WHERE own <> majority AND n >= 5)"""
 _STOPS = ", ".join(f"'{w}'" for w in v.TITLE_STOP)
 _TITLE = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+')), lambda t: length(t) > 2 AND t NOT IN ({_STOPS}))"
+_WORDY = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9+.#/-]*')), lambda t: length(t) > 2 AND t NOT IN (" + _STOPS + "))"
 _LAST2 = f"WITH {SNAP}, top AS (SELECT DISTINCT order_index FROM snapshot_sessions WHERE order_index IS NOT NULL ORDER BY 1 DESC LIMIT 2), k AS (SELECT snap.*, order_index = (SELECT max(order_index) FROM top) AS is_live FROM snap WHERE order_index IN (FROM top) AND url <> ''), o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url, is_live ORDER BY session_id DESC) = 1), a AS (SELECT * FROM o WHERE is_live), b AS (SELECT * FROM o WHERE NOT is_live)"
 _BURST = "WITH a AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 7200000000 THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM a) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM g GROUP BY user_id, b"
 
@@ -119,6 +121,15 @@ ORACLES = {
     "neighbour_disagreements_three": _AUDIT.replace(">= 5", ">= 3") + " SELECT facet, count(*) AS flagged FROM audit GROUP BY facet",
     "neighbour_disagreements": _AUDIT + " SELECT facet, count(*) AS flagged FROM audit GROUP BY facet",
     "blocked_knn": _VEC + f", w AS (SELECT row_id, unnest({_TITLE}) AS w FROM vec), tell AS (SELECT * FROM w WHERE w IN (SELECT w FROM w GROUP BY w HAVING count(*) <= 0.2 * (SELECT count(*) FROM vec))), sh AS (SELECT q.row_id AS query_id, r.row_id, count(*) AS shared FROM tell q JOIN tell r ON q.w = r.w AND q.row_id % 100 = 0 AND q.row_id <> r.row_id GROUP BY ALL), kp AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, row_id DESC) <= 180) SELECT query_id, row_id, shared, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) AS INTEGER) AS place FROM kp JOIN pairs USING (query_id, row_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) <= 9",
+    "related_indexed": _VEC
+    + f""", s AS (SELECT url, max(struct_pack(id := id, t := topics, c := session_category, d := description)) AS b FROM classified_sessions WHERE id IS NOT NULL AND url <> '' GROUP BY url),
+fl AS (SELECT row_id, lower(trim(title)) AS title, ai_focus, theme, audience, {_WORDY.format("coalesce(title, '')")} AS head, {_WORDY.format("concat_ws(' ', title, b.d, array_to_string(list_filter(coalesce(b.t, []), lambda x: x IS NOT NULL), ' '))")} AS tok,
+  list_distinct(list_transform(list_filter(coalesce(b.t, []), lambda x: x IS NOT NULL), lambda x: lower(x))) AS tp, coalesce(lower(trim(b.c)), '') AS cat FROM vec LEFT JOIN s USING (url)),
+few AS (SELECT a.row_id, count(*) FILTER (len(list_intersect(a.head, b.head)) > 0) < 50 AS wide FROM fl a, fl b WHERE a.row_id % 100 = 0 GROUP BY a.row_id),
+d AS (SELECT k.query_id, k.row_id, k.cosine, a.title AS ta, b.title AS tb, a.ai_focus AS aa, b.ai_focus AS ba, a.theme AS ah, b.theme AS bh, a.audience AS au, b.audience AS bu, a.cat AS ac, b.cat AS bc, len(list_intersect(a.head, b.head)) AS hh, len(list_intersect(a.tok, b.head)) AS th, few.wide, len(list_intersect(a.tok, b.tok)) AS sh, greatest(len(a.tok), len(b.tok)) AS mt, len(list_intersect(a.tp, b.tp)) AS ti, len(list_distinct(list_concat(a.tp, b.tp))) AS tu FROM pairs k JOIN fl a ON a.row_id = k.query_id JOIN fl b ON b.row_id = k.row_id JOIN few ON few.row_id = k.query_id),
+sc AS (SELECT *, round(cosine + CASE WHEN aa <> '' AND aa = ba THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN ah <> '' AND ah = bh THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN au <> '' AND au = bu THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN tu > 0 THEN ti::DOUBLE / tu ELSE 0 END * 0.06::DOUBLE + CASE WHEN mt > 0 THEN sh::DOUBLE / mt ELSE 0 END * 0.05::DOUBLE + CASE WHEN ac <> '' AND ac = bc THEN 0.015::DOUBLE ELSE 0 END, 4) AS score
+  FROM d WHERE ta IS DISTINCT FROM tb AND (aa = ba OR sh > 0) AND (cosine > 0.45 OR sh > 0) AND (hh > 0 OR wide AND (th > 0 OR ti > 0 OR ac <> '' AND ac = bc OR aa <> '' AND aa = ba OR ah <> '' AND ah = bh OR au <> '' AND au = bu)))
+SELECT query_id, row_id, score, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine DESC, row_id) AS INTEGER) AS place FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine DESC, row_id) <= 5""",
     "related_sessions": _VEC
     + f""", s AS (SELECT url, max(struct_pack(id := id, t := topics, c := session_category)) AS b FROM classified_sessions WHERE id IS NOT NULL AND url <> '' GROUP BY url),
 fl AS (SELECT row_id, lower(trim(title)) AS title, ai_focus, theme, audience, {_TITLE} AS tok, list_distinct(list_transform(list_filter(coalesce(b.t, []), lambda x: x IS NOT NULL), lambda x: lower(x))) AS tp, lower(trim(b.c)) AS cat FROM vec LEFT JOIN s USING (url)),
