@@ -363,6 +363,38 @@ def test_tokens_in_very_many_spellings(spark, monkeypatch):
     assert linked(spark, names=sum(names, [])) == groups("name", *names)
 
 
+def test_frequent_tokens_leave_no_partner_out(spark):
+    """Short forms and lone spellings whose only common token very many others have too."""
+    many = [f"{a}{b}{c}" for a in ("Bra", "Cle", "Dri", "Flo", "Gru", "Pla") for b in ("vin", "mos", "tek", "ruf") for c in ("ala", "ebe", "odo")]
+    names = [["Bob Torukasi", "Robert Torukasi"], *[[f"{x} Torukasi"] for x in many]]
+    companies = [["Vokarelu Pump Technologies", "Vokarelu Pump Tech"], *[[f"{x} Pump Technologies"] for x in many], *[[f"{x} Tech"] for x in many[:9]]]
+    assert groups("name", *names) <= linked(spark, names=sum(names, []))
+    # Kust begins like a short form of Koduvetrasti; a frequent word in common isn't enough for that.
+    analytics = [["Koduvetrasti Analytics"], ["Kustestikaza Analytics", "Kust estikaza Analytics"], *[[f"{x} Analytics"] for x in many[:60]]]
+    got = linked(spark, sum(companies + analytics, []))
+    assert groups("company", companies[0], *analytics[:2]) <= got and not any("Koduvetrasti Analytics" in p for p in got)
+
+
+@pytest.mark.parametrize("hot", [0, 500])
+def test_compared_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spellings, "HOT", hot)
+    rng = random.Random(5)
+    given = "robert bob rob robret johannes hans john j r x theodora dora michael micheal mike miachel ann".split()
+    family = "torvaldsen torvaldson trovaldsen torvald vokarelu smith smithson smyth s t van vanvokarelu".split()
+    lines = "tech technologies technology bank banking data bricks databricks databrisk dbt labs laboratories ibm international business machines m".split()
+    many = {("name", *rng.sample(given, rng.choice([0, 1, 1, 1, 2])), *rng.sample(family, rng.choice([1, 1, 1, 2]))) for _ in range(150)}
+    many |= {("company", *rng.sample(lines, rng.choice([1, 2, 2, 3]))) for _ in range(150)} | {("company", "international", "business", "machines"), ("name", "r", "s"), ("name", "bob"), ("company", "smith", "smith"), ("company", "smith")}
+    forms = [(f"{k}:{' '.join(t)}", k, list(t)) for k, *t in sorted(many)]
+    words = {(k, t) for _, k, ts in forms for t in [*ts, *(x + y for x, y in zip(ts, ts[1:]))]}
+    alike = [(k, x, y) for k, x in words for m, y in words if k == m and x != y and spellings.slips(x, y, 2) <= spellings.slips_allowed(min(len(x), len(y)))]
+    near = spark.createDataFrame(alike, "kind string, x string, y string")
+    weighed = spellings.weighed(spark.createDataFrame(forms, "form string, kind string, tokens array<string>"), near)
+    of = {r["form"]: (r["tokens"], r["weights"]) for r in weighed.collect()}
+    want = {(k, a, b, *spellings.verdict(k, *of[a], *of[b])) for a, k, _ in forms for b, m, _ in forms if k == m and a < b}
+    got = [tuple(r) for r in spellings.compared(weighed, near).collect()]
+    assert set(got) == {x for x in want if x[3] != "other"} and len(got) == len(set(got))
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [("abcd", "abcd", 0), ("abcd", "abdc", 1), ("abcd", "abd", 1), ("abcd", "abxd", 1), ("abcd", "abcde", 1), ("abcd", "badc", 2), ("abcd", "ab", 2), ("abcdefgh", "badcfegh", 3), ("", "a", 1)])
 def test_slips(a, b, n):
     assert spellings.slips(a, b, 2) == n and spellings.slips(b, a, 2) == n
